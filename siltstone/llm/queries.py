@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import overlap, related_splits
+from siltstone.llm import canonical_text, overlap, related_splits, splitting
 from siltstone.runtime import read
 
 
@@ -30,12 +31,32 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related_splits.share_report(p4_splits(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pieces(spark, sf_dir).filter(F.col("piece_no") == 0).select("string_id")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.pieces(read(spark, sf_dir, "raw_string"), read(spark, sf_dir, "backend_prediction"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_text.lookalikes(read(spark, sf_dir, "raw_string"), read(spark, sf_dir, "confusable"))
+
+
+def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_text.canonical_strings(read(spark, sf_dir, "raw_string"), read(spark, sf_dir, "confusable"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p4_shares": p4_shares,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
+    "p6_canonical": p6_canonical,
 }
 
 ORACLES: dict[str, str] = {}
