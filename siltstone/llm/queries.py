@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import canonical_text, overlap, related_splits, splitting
+from siltstone.llm import canonical_text, mixing, overlap, related_splits, splitting, tokenizing
 from siltstone.runtime import read
 
 
@@ -47,6 +47,19 @@ def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_text.canonical_strings(read(spark, sf_dir, "raw_string"), read(spark, sf_dir, "confusable"))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizing.encode(read(spark, sf_dir, "documents"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, _ = mixing.mix(mixing.sized(read(spark, sf_dir, "documents")), read(spark, sf_dir, "mix_target"))
+    return mixed
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.share_report(*mixing.mix(mixing.sized(read(spark, sf_dir, "documents")), read(spark, sf_dir, "mix_target")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -57,6 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_canonical": p6_canonical,
+    "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
 }
 
 ORACLES: dict[str, str] = {}
