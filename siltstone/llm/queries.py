@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import canonical_text, mixing, overlap, related_splits, splitting, tokenizing
+from siltstone.llm import canonical_text, mixing, overlap, related_splits, splitting, subjects, tokenizing
 from siltstone.runtime import read
 
 
@@ -60,6 +60,18 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(*mixing.mix(mixing.sized(read(spark, sf_dir, "documents")), read(spark, sf_dir, "mix_target")))
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.posteriors(read(spark, sf_dir, "documents"), read(spark, sf_dir, "subject_label"), read(spark, sf_dir, "subject_area"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.found(_judged(spark, sf_dir))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(_judged(spark, sf_dir), read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -73,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 
 ORACLES: dict[str, str] = {}
