@@ -63,7 +63,25 @@ def p1_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shredding.arguments_table(read(spark, sf_dir, "cape_report"))
 
 
-@query()
+# Schema drift: every node of the valid documents with its path; the keys of `rules` come as '*'.
+_DRIFT = r"""
+    docs AS (SELECT feed, file_no, report::JSON AS doc FROM capa_report WHERE json_valid(report) AND json_type(report::JSON) = 'OBJECT' AND feed IS NOT NULL AND file_no IS NOT NULL),
+    nodes AS (SELECT feed, file_no, t.type, regexp_replace(regexp_replace(regexp_replace(substr(t.fullkey, 3), '^rules\.("([^"\\]|\\.)*"|[^.\[]+)', 'rules.*'), '\[[0-9]+\]', '[]', 'g'), '"', '', 'g') AS path FROM docs, json_tree(docs.doc) t WHERE t.fullkey <> '$'),
+    typed AS (SELECT DISTINCT feed, file_no, path, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'fraction' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'integer' END AS type FROM nodes),
+    schemas AS (SELECT feed, file_no, path, coalesce(string_agg(type, '|' ORDER BY type), '') AS types FROM typed GROUP BY feed, file_no, path),
+    files AS (SELECT feed, file_no, lag(file_no) OVER (PARTITION BY feed ORDER BY file_no) AS previous_no FROM (SELECT DISTINCT feed, file_no FROM capa_report WHERE feed IS NOT NULL AND file_no IS NOT NULL)),
+    new AS (SELECT f.feed, f.file_no, s.path, s.types FROM files f JOIN schemas s ON s.feed = f.feed AND s.file_no = f.file_no WHERE f.previous_no IS NOT NULL),
+    old AS (SELECT f.feed, f.file_no, s.path, s.types FROM files f JOIN schemas s ON s.feed = f.feed AND s.file_no = f.previous_no),
+    changed AS (SELECT feed, file_no, path, old.types AS old_types, new.types AS new_types FROM new FULL JOIN old USING (feed, file_no, path) WHERE old.types IS DISTINCT FROM new.types),
+    top AS (SELECT *, CASE WHEN old_types IS NULL THEN 'added' WHEN new_types IS NULL THEN 'removed' ELSE 'type_changed' END AS kind, regexp_replace(path, '(^|\.)[^.\[\]]+$|\[\]$', '') AS parent FROM changed c
+        WHERE NOT EXISTS (SELECT 1 FROM changed a WHERE a.feed = c.feed AND a.file_no = c.file_no AND a.path <> c.path AND (starts_with(c.path, a.path || '.') OR starts_with(c.path, a.path || '[]')))),
+    ranked AS (SELECT *, coalesce(old_types, new_types) AS shape, row_number() OVER (PARTITION BY feed, file_no, parent, coalesce(old_types, new_types), kind ORDER BY path) AS k FROM top WHERE kind <> 'type_changed'),
+    paired AS (SELECT feed, file_no, max(path) FILTER (kind = 'removed') AS old_path, max(path) FILTER (kind = 'added') AS new_path FROM ranked GROUP BY feed, file_no, parent, shape, k)
+"""
+
+
+@query(f"""WITH {_DRIFT} SELECT feed, file_no, 'type_changed' AS change_kind, path AS field_path FROM top WHERE kind = 'type_changed'
+    UNION ALL SELECT feed, file_no, CASE WHEN old_path IS NULL THEN 'added' WHEN new_path IS NULL THEN 'removed' ELSE 'renamed' END, coalesce(new_path, old_path) FROM paired""")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, steps = schema_drift.drift(read(spark, sf_dir, "capa_report"))
     return steps.select("feed", "file_no", "change_kind", "field_path")
