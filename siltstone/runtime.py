@@ -66,16 +66,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def hot_rows_from(total: int) -> int:
+    return max(1000, total // HOT_SHARE)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
     """Keys with more than 1/HOT_SHARE of the rows: fewer than HOT_SHARE rows by construction."""
-    least = max(1000, total // HOT_SHARE)
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(*keys)
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows_from(total)).select(*keys)
 
 
-def lookup(facts: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+def lookup(facts: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner", counts: str | None = None) -> DataFrame:
     """Join facts to a table with one row per key. Facts under hot keys never move: their part of the
-    table is broadcast (fewer than HOT_SHARE rows, see hot_keys); the rest is a plain shuffle join."""
-    hot = hot_keys(facts.filter(F.col(key).isNotNull()), [key], total)
+    table is broadcast (fewer than HOT_SHARE rows, see hot_keys); the rest is a plain shuffle join.
+    counts: a column of small that already has each key's number of facts."""
+    hot = small.filter(F.col(counts) > hot_rows_from(total)).select(key) if counts else hot_keys(facts.filter(F.col(key).isNotNull()), [key], total)
     hot_rows = small.join(F.broadcast(hot), key, "left_semi")
     marked = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     cold = marked.filter(F.col("_hot").isNull()).drop("_hot").join(small, key, how)
