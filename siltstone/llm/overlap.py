@@ -44,9 +44,9 @@ def sides(manifest: DataFrame) -> DataFrame:
 
 def _ranked(classes: DataFrame, total: int) -> DataFrame:
     """Classes with their shingle hashes from rare to frequent, and a bitmap of them."""
-    each = classes.select("cls", F.explode(F.transform(shingles(F.split("text", " ")), lambda s: F.xxhash64(s))).alias("sh"))
-    frequency = each.groupBy("sh").agg(F.count("*").alias("n"))
-    counted = lookup(each, frequency, "sh", total)
+    each = classes.select("cls", F.explode("hashes").alias("sh"))
+    frequency = stored(each.groupBy("sh").agg(F.count("*").alias("n")), "shingle-counts")
+    counted = lookup(each, frequency, "sh", total, counts="n")
     lane, bit = F.pmod(F.col("sh"), F.lit(LANES)), F.pmod(F.shiftright("sh", 8), F.lit(64)).cast("int")
     lanes = [F.bit_or(F.when(lane == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint"))).alias(f"m{k}") for k in range(LANES)]
     return counted.groupBy("cls").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "sh"))), lambda x: x["sh"]).alias("ranked"), *lanes)
@@ -64,10 +64,10 @@ def _prefixes(ranked: DataFrame, sized: Column, tag: str) -> DataFrame:
 def similar_classes(classes: DataFrame) -> DataFrame:
     """(cls_e, cls_t): classes on the two sides whose shingle sets have a Jaccard similarity of NUM/DEN or more.
 
-    classes has cls, text (the words joined by blanks), on_e and on_t. Classes without shingles are similar
+    classes has cls, text (the words joined by blanks), hashes (of its shingles), on_e and on_t. Classes without shingles are similar
     to nothing; a class on both sides is similar to itself.
     """
-    total = classes.count() * 50
+    total = classes.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
     ranked = stored(_ranked(classes, total).join(classes.select("cls", "on_e", "on_t"), "cls"), "ranked-shingles")
     index, probe = _prefixes(ranked, F.col("on_e"), "e"), _prefixes(ranked, F.col("on_t"), "t")
     hot = probe.groupBy("sh").agg(F.count("*").alias("n")).filter(F.col("n") > max(5000, total // 1000)).select("sh", F.lit(True).alias("_hot"))  # fewer than 1000 rows
@@ -99,7 +99,7 @@ def text_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = said.withColumn("cls", F.unhex(F.md5("text")))
     members = said.select("pair_id", "side", "source", "split", "cls").distinct()
     classes = said.groupBy("cls").agg(F.first("text").alias("text"), F.max(F.col("side") == "E").alias("on_e"), F.max(F.col("side") == "T").alias("on_t"))
-    return members, classes
+    return members, classes.withColumn("hashes", F.transform(shingles(F.split("text", " ")), lambda s: F.xxhash64(s)))
 
 
 def _hash_matches(rows: DataFrame, *columns: str) -> DataFrame:
