@@ -56,6 +56,7 @@ class Transducer:
         self.longest = max(map(len, table), default=1)
         self.plain_ascii = not any(k.isascii() for k in table)
         self.single = self._compile()
+        self.joining = "".join(chr(p) for p in self.single if unicodedata.combining(unicodedata.normalize("NFKD", chr(p))[0]) and unicodedata.category(chr(p))[0] != "M")
         self._start()
 
     def _compile(self) -> dict[int, str]:
@@ -89,11 +90,13 @@ class Transducer:
 
     def _start(self) -> None:
         self._memory: dict[str, str] = {}
-        marks = rf"[\p{{M}}{INVISIBLE}]"
-        self._clusters = regex.compile(rf"(?:[\u1100-\u11ff]|[^\p{{M}}{INVISIBLE}])?{marks}+|[\u1100-\u11ff\uac00-\ud7a3][\u1100-\u11ff{INVISIBLE}\p{{M}}]*|" + ("[^\\x00-\\x7f]" if self.plain_ascii else "(?s:.)"))
+        marks = rf"[\p{{M}}{INVISIBLE}{self.joining}]"
+        jamo = "[ᄀ-ᇿ가-힣]"
+        self._clusters = regex.compile(rf"{jamo}(?:{jamo}|{marks})*|[^{marks[1:]}?{marks}+|" + ("[^\\x00-\\x7f]" if self.plain_ascii else "(?s:.)"))
+        self._jamo = regex.compile("[ᄀ-ᇿ]").search
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_memory", "_clusters")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_memory", "_clusters", "_jamo")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -113,7 +116,8 @@ class Transducer:
     def __call__(self, text: str) -> str:
         if self.plain_ascii and text.isascii():
             return text
-        return self._clusters.sub(self._written, text)
+        done = self._clusters.sub(self._written, text)
+        return unicodedata.normalize("NFC", done) if self._jamo(done) else done  # half-width letters may join into a syllable
 
 
 def compiled(confusable: DataFrame) -> Transducer:
