@@ -34,7 +34,7 @@ def entities(manifest: DataFrame) -> DataFrame:
 
 def edges(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """(a, b): each row's first node with its others, and each family alias with its canonical name; a < b."""
-    own = rows.select(F.col("nodes")[0].alias("x"), F.explode(F.slice("nodes", 2, 8)).alias("y"))
+    own = rows.select(F.get("nodes", F.lit(0)).alias("x"), F.explode(F.slice("nodes", 2, 8)).alias("y"))
     alias = aliases.select(_entity("m", family_name(F.col("alias_name"))).alias("x"), _entity("m", family_name(F.col("canonical_name"))).alias("y"))
     both = own.unionByName(alias).filter(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("x") != F.col("y")))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -96,7 +96,7 @@ def spanning_forest(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def grouped(manifest: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, forest): each row with its group (null for a row that names nothing), and the spanning forest."""
-    rows = stored(entities(manifest).withColumn("node", F.col("nodes")[0]), "manifest-entities")
+    rows = stored(entities(manifest).withColumn("node", F.get("nodes", F.lit(0))), "manifest-entities")
     forest, labels = spanning_forest(edges(rows, aliases))
     alone = F.coalesce("root", "node")
     return rows.join(labels, "node", "left").select("pair_id", "bits", alone.alias("grp")), forest
