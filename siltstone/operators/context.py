@@ -22,7 +22,7 @@ CANARY_PREFIX = "CANARY"
 def ingress_hits(text: Column) -> Column:
     """The markers that a text contains without case, in their order."""
     low = F.lower(text)
-    return F.filter(F.array(*[F.lit(m) for m in INGRESS_MARKERS]), lambda m: F.instr(low, m) > 0)
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(m)), F.lit(m)) for m in INGRESS_MARKERS]))
 
 
 def summary(text: Column, most: int = 280) -> Column:
@@ -36,7 +36,7 @@ def canary(label: str) -> str:
 def canary_hits(df: DataFrame, text: str, canaries: list[str]) -> DataFrame:
     """A row for each token that a row's text contains, whatever the case."""
     low = F.lower(F.col(text))
-    hits = F.filter(F.array(*[F.lit(c) for c in canaries]), lambda c: F.instr(low, F.lower(c)) > 0)
+    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(c.lower())), F.lit(c)) for c in canaries]))
     return df.withColumn("token", F.explode(hits))
 
 

@@ -17,6 +17,7 @@ from siltstone.operators.budgets import first_per_group
 # Fixed values.
 STRING_CHARS, CHUNK_CHARS, BUDGET = 6, 256, 2000
 ENTROPY_LOW, ENTROPY_HIGH = 2.5, 5.5
+DATA_SECTIONS = (".rsrc", ".data", ".edata", ".idata", ".debug")
 TEXT_ARGUMENTS = {
     "OutputDebugStringA": ["lpOutputString"],
     "OutputDebugStringW": ["lpOutputString"],
@@ -46,23 +47,44 @@ def printable_strings(data: bytes) -> Iterator[tuple[int, str, str]]:
                 yield start + at * width, chunk, ("ascii", "utf-16le")[kind]
 
 
-def extract_strings(artifacts: DataFrame, key: str, data: str, budget: int = BUDGET) -> DataFrame:
+def _regions(size: int, sections) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a file to read: its sections, data sections first, cut to the file and
+    without empty ones; the whole file where none are named."""
+    if not sections:
+        return [(0, size)]
+    ranked = sorted(enumerate(sections), key=lambda x: (x[1]["name"] not in DATA_SECTIONS, x[0]))
+    cut = [(max(0, s["start"] or 0), min(size, (s["start"] or 0) + (s["size"] or 0))) for _, s in ranked]
+    return [(a, b) for a, b in cut if a < b]
+
+
+def extract_strings(artifacts: DataFrame, key: str, data: str, budget: int = BUDGET, sections: DataFrame | None = None) -> DataFrame:
     """(key, ord, locator, encoding, raw_string, truncated): at most `budget` strings of every artifact, in order.
 
-    An artifact is one row, so its budget is kept where its bytes are and nothing is shuffled. Null and empty
-    bytes have no strings.
+    sections (key, section_ord, name, start, size) names the parts of a file to read, the sections of DATA_SECTIONS
+    first; a file without any is read whole. An artifact is one row, so its budget is kept where its bytes are and
+    only sections are shuffled. Null and empty bytes have no strings.
     """
     kind = artifacts.schema[key].dataType.simpleString()
+    rows = artifacts.select(F.col(key).alias("key"), F.col(data).alias("data"))
+    if sections is None:
+        rows = rows.withColumn("sections", F.lit(None).cast("array<struct<name:string,start:bigint,size:bigint>>"))
+    else:
+        listed = F.transform(F.sort_array(F.collect_list(F.struct("section_ord", "name", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size")))), lambda x: F.struct(x["name"].alias("name"), x["start"].alias("start"), x["size"].alias("size")))
+        rows = rows.join(sections.groupBy(F.col(key).alias("key")).agg(listed.alias("sections")), "key", "left")
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 owner, rows = [], []
-                for at, raw in enumerate(part.column("data").to_pylist()):
+                for at, (raw, parts) in enumerate(zip(part.column("data").to_pylist(), part.column("sections").to_pylist())):
+                    raw = raw or b""
                     found = []
-                    for item in printable_strings(raw or b""):
-                        found.append(item)
+                    for start, end in _regions(len(raw), parts):
+                        for offset, text, encoding in printable_strings(raw[start:end]):
+                            found.append((start + offset, text, encoding))
+                            if len(found) > budget:
+                                break
                         if len(found) > budget:
                             break
                     over = len(found) > budget
@@ -72,7 +94,7 @@ def extract_strings(artifacts: DataFrame, key: str, data: str, budget: int = BUD
                 kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(owner, pa.int32())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=[key, "ord", "locator", "encoding", "raw_string", "truncated"])
 
-    return artifacts.select(F.col(key).alias("key"), F.col(data).alias("data")).mapInArrow(stage, f"`{key}` {kind}, ord int, locator string, encoding string, raw_string string, truncated boolean")
+    return rows.select("key", "data", "sections").mapInArrow(stage, f"`{key}` {kind}, ord int, locator string, encoding string, raw_string string, truncated boolean")
 
 
 def text_chunks(df: DataFrame, text: str, size: int = CHUNK_CHARS) -> DataFrame:

@@ -57,3 +57,18 @@ def census(manifest: DataFrame) -> DataFrame:
     rows = manifest.select(F.coalesce("origin", F.lit("?")).alias("origin"), F.coalesce("split", F.lit("?")).alias("split"), F.coalesce("insertion_locus", F.lit("?")).alias("locus"), "pair_id", F.col("invariance.jaccard").alias("j"))
     cube = rows.rollup("origin", "split", "locus").agg(F.grouping_id().cast("int").alias("level"), F.countDistinct("pair_id").alias("pairs"), F.count("*").alias("n_rows"), F.round(F.sum("j"), 4).alias("jaccard_sum"))
     return cube.select("origin", "split", "locus", "level", "pairs", "n_rows", "jaccard_sum")
+
+
+def rejection_rate(accepted: DataFrame, rejected: DataFrame, key: str = "pair_id") -> DataFrame:
+    """(rejected, considered, rate): distinct rejected ids over all distinct ids; the rate of none is null."""
+    marked = accepted.select(key, F.lit(False).alias("_r")).unionByName(rejected.select(key, F.lit(True).alias("_r"))).filter(F.col(key).isNotNull())
+    each = marked.groupBy(key).agg(F.max("_r").alias("_r"))
+    return each.agg(F.count_if("_r").alias("rejected"), F.count("*").alias("considered")).withColumn("rate", F.round(F.try_divide("rejected", "considered"), 4))
+
+
+def unmatched_outcomes(outcomes: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(sample_id, reason) of outcomes whose sample is not in the manifest, or under another group or split."""
+    known = members(manifest).select("sample_id", F.col("group_no").alias("_group"), F.col("pair_split").alias("_split")).filter(F.col("sample_id").isNotNull()).distinct()
+    met = outcomes.select("sample_id", "group_no", "split").join(known.withColumn("_known", F.lit(True)), "sample_id", "left")
+    reason = F.when(F.col("_known").isNull(), "unknown").when(~F.col("group_no").eqNullSafe(F.col("_group")), "group_no").when(~F.col("split").eqNullSafe(F.col("_split")), "split")
+    return met.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("sample_id", "reason")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,3 +115,25 @@ def network_hits(records: DataFrame) -> DataFrame:
     """The records whose user agent or request meets the network rule, upper and lower case apart; null meets nothing."""
     meets = lambda column, pattern: F.coalesce(F.col(column).rlike("(?d)" + pattern), F.lit(False))
     return records.filter(meets("user_agent", USER_AGENT_PATTERN) | meets("uri", REQUEST_PATTERN))
+
+
+def offsets(df: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, rule, identifier, start_byte, matched): every match of every pattern in a column of bytes, by offset.
+
+    Patterns are met byte by byte, letters without case in ASCII only. Null and empty bytes have no matches.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    compiled = [(rule, name, re.compile(p.encode(), re.IGNORECASE)) for rule, patterns in RULES.items() for name, p in patterns.items()]
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, found = [], []
+            for i, raw in enumerate(batch.column("data").to_pylist()):
+                for rule, name, pattern in compiled:
+                    for m in pattern.finditer(raw or b""):
+                        owner.append(i)
+                        found.append((rule, name, m.start(), m[0]))
+            columns = list(zip(*found)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owner, pa.int32())), *[pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.binary()))]], names=[key, "rule", "identifier", "start_byte", "matched"])
+
+    return df.select(F.col(key).alias("key"), F.col(data).alias("data")).mapInArrow(stage, f"`{key}` {kind}, rule string, identifier string, start_byte long, matched binary")

@@ -161,6 +161,15 @@ def q_string_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budgets.first_per_group(strings, ["artifact_sha256"], ["ord", "string_id"], _BUDGET).select("artifact_sha256", "string_id", "place", "truncated")
 
 
+@query(f"""WITH d AS (SELECT artifact_sha256, raw_string, min(struct_pack(o := coalesce(ord, -1), i := string_id)) AS head FROM raw_string WHERE raw_string <> '' GROUP BY 1, 2),
+    r AS (SELECT artifact_sha256, head.i AS first_string, row_number() OVER (PARTITION BY artifact_sha256 ORDER BY head) AS place, count(*) OVER (PARTITION BY artifact_sha256) AS n FROM d)
+    SELECT artifact_sha256, first_string, place::INT AS place, n > {_BUDGET} AS truncated FROM r WHERE place <= {_BUDGET}""")
+def q_text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strings = read(spark, sf_dir, "raw_string").filter(F.col("raw_string") != "").select("artifact_sha256", "raw_string", F.coalesce("ord", F.lit(-1)).alias("o"), F.col("string_id").alias("i"))
+    texts = strings.groupBy("artifact_sha256", F.sha2("raw_string", 256).alias("text")).agg(F.min(F.struct("o", "i")).alias("at")).select("artifact_sha256", "at.*")
+    return budgets.first_per_group(texts, ["artifact_sha256"], ["o", "i"], _BUDGET).select("artifact_sha256", F.col("i").alias("first_string"), "place", "truncated")
+
+
 _IN_LISTS = """
     reports AS (SELECT report_id, artifact_sha256, report::JSON AS doc FROM cape_report WHERE json_valid(report)),
     process_lists AS (SELECT report_id, artifact_sha256, json_extract(doc, '$.behavior.processes[*]') AS items FROM reports WHERE json_type(doc, '$.behavior.processes') = 'ARRAY'),
@@ -263,6 +272,12 @@ def q_network_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.network_hits(seeded).select("report_id", "pos")
 
 
+@query()
+def q_rule_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeded = _seeded_strings(spark, sf_dir).select("string_id", F.encode("t", "UTF-8").alias("data"))
+    return rules.offsets(seeded, "string_id", "data").withColumn("matched", F.hex("matched"))
+
+
 # Capabilities.
 _RULES = """
     docs AS (SELECT record_id, json_extract(report::JSON, '$.rules') AS rules FROM capa_report WHERE json_valid(report) AND json_type(report::JSON, '$.rules') = 'OBJECT'),
