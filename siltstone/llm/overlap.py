@@ -29,7 +29,10 @@ def words(text: Column) -> Column:
 
 def shingles(w: Column, n: int = WORDS) -> Column:
     """The distinct runs of n words, joined by blanks; empty for fewer words."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+    runs = w
+    for k in range(1, n):  # no lambda holds w, which would be made anew for each word
+        runs = F.zip_with(runs, F.slice(w, k + 1, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+    runs = F.slice(runs, F.lit(1), F.size(w) - (n - 1))
     return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
