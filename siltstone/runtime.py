@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: A key counts as hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 200
+#: Facts that a single task can take whatever their keys.
+PLAIN_ROWS = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -78,7 +80,10 @@ def hot_keys(df: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
 def lookup(facts: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner", counts: str | None = None) -> DataFrame:
     """Join facts to a table with one row per key. Facts under hot keys never move: their part of the
     table is broadcast (fewer than HOT_SHARE rows, see hot_keys); the rest is a plain shuffle join.
-    counts: a column of small that already has each key's number of facts."""
+    counts: a column of small that already has each key's number of facts. Up to PLAIN_ROWS facts, which one
+    task can take, are simply joined."""
+    if total <= PLAIN_ROWS:
+        return facts.join(small, key, how)
     hot = small.filter(F.col(counts) > hot_rows_from(total)).select(key) if counts else hot_keys(facts.filter(F.col(key).isNotNull()), [key], total)
     hot_rows = small.join(F.broadcast(hot), key, "left_semi")
     marked = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")

@@ -25,7 +25,11 @@ def test_prefix_sums(spark):
 def test_lookup_keeps_hot_keys(spark):
     left = spark.createDataFrame([(1 if i % 2 else i,) for i in range(4000)], "k int")
     right = left.distinct().withColumn("v", F.col("k") * 2)
-    assert lookup(left, right, "k", 4000).agg(F.count("*"), F.sum("v")).first()[:] == (4000, 2 * sum(1 if i % 2 else i for i in range(4000)))
+    want = (4000, 2 * sum(1 if i % 2 else i for i in range(4000)))
+    for total in (4000, 250_000):  # a plain join, and one that broadcasts the hot key's row
+        assert tuple(lookup(left, right, "k", total).agg(F.count("*"), F.sum("v")).first()) == want
+    null = left.limit(1).selectExpr("CAST(NULL AS INT) AS k")
+    assert [lookup(null, right, "k", t, "left").count() for t in (1, 250_000)] == [1, 1]
 
 
 def test_first_per_group(spark):
