@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from siltstone.llm.manifest_names import family_name, split_bit
 from siltstone.operators.prefix_sums import prefix_sums
-from siltstone.runtime import Stored, stored
+from siltstone.runtime import Stored, lookup, stored
 
 SHARES = {"train": 0.7, "validation": 0.1, "test": 0.2}
 
@@ -47,9 +47,10 @@ def _roots(taken: DataFrame) -> Stored:
     joined = taken.join(back, "o", "left")
     at_root = (F.col("_again") == F.col("c")) & (F.col("c") < F.col("o"))
     now = Stored(joined.select(F.col("c").alias("node"), F.when(at_root, F.col("c")).otherwise(F.col("o")).alias("root")), "pointers")
+    total = now.df.count()
     while True:
         up = now.df.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        ahead = Stored(now.df.join(up, "root").select("node", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved")), "pointers")
+        ahead = Stored(lookup(now.df, up, "root", total).select("node", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved")), "pointers")
         moved = ahead.df.filter("_moved").limit(1).count()
         now.drop()
         ahead.df = ahead.df.drop("_moved")
@@ -65,7 +66,7 @@ def spanning_forest(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     live = Stored(links.select(F.xxhash64("a", "b").alias("w"), "a", "b", F.col("a").alias("u"), F.col("b").alias("v")), "live-edges")
     forest, steps = [], []
-    while live.df.limit(1).count():
+    while total := live.df.count():
         edge = F.struct("w", "a", "b")
         ends = F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("v").alias("o")), F.struct(F.col("v").alias("c"), F.col("u").alias("o"))))
         least = live.df.select(edge.alias("e"), ends.alias("s")).groupBy("s.c").agg(F.min(F.struct("e", "s.o")).alias("m"))
@@ -75,7 +76,7 @@ def spanning_forest(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         steps.append(step.df)
         near = step.df.select(F.col("node").alias("u"), F.col("root").alias("_u"))
         far = step.df.select(F.col("node").alias("v"), F.col("root").alias("_v"))
-        moved = live.df.join(near, "u").join(far, "v").filter(F.col("_u") != F.col("_v"))
+        moved = lookup(lookup(live.df, near, "u", total), far, "v", total).filter(F.col("_u") != F.col("_v"))
         sides = moved.select("w", "a", "b", F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))
         kept = Stored(sides.groupBy("u", "v").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.w", "e.a", "e.b", "u", "v"), "live-edges")
         live.drop()
@@ -87,7 +88,7 @@ def spanning_forest(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = steps[-1]
     for step in reversed(steps[:-1]):  # from the few roots of the last round down to all nodes
         above = labels.select(F.col("node").alias("root"), F.col("root").alias("_top"))
-        labels = step.join(above, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+        labels = lookup(step, above, "root", step.count(), "left").select("node", F.coalesce("_top", "root").alias("root"))
     taken = forest[0]
     for more in forest[1:]:
         taken = taken.unionByName(more)
@@ -99,7 +100,7 @@ def grouped(manifest: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFra
     rows = stored(entities(manifest).withColumn("node", F.get("nodes", F.lit(0))), "manifest-entities")
     forest, labels = spanning_forest(edges(rows, aliases))
     alone = F.coalesce("root", "node")
-    return rows.join(labels, "node", "left").select("pair_id", "bits", alone.alias("grp")), forest
+    return lookup(rows, labels, "node", rows.count(), "left").select("pair_id", "bits", alone.alias("grp")), forest
 
 
 def torn_pairs(manifest: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -111,7 +112,8 @@ def torn_pairs(manifest: DataFrame, aliases: DataFrame) -> DataFrame:
     rows, _ = grouped(manifest, aliases)
     rows = stored(rows, "manifest-groups").filter(F.col("grp").isNotNull())
     torn = rows.groupBy("grp").agg(F.bit_or("bits").alias("_bits")).filter(F.bit_count("_bits") > 1).select("grp")
-    return rows.filter(F.col("pair_id").isNotNull()).select("pair_id", "grp").distinct().join(torn, "grp", "left_semi").select("pair_id").distinct()
+    pairs = rows.filter(F.col("pair_id").isNotNull()).select("pair_id", "grp").distinct()  # a pair_id has one group, so it stays distinct
+    return lookup(pairs, torn, "grp", rows.count()).select("pair_id")
 
 
 def _deal(bands: list, shares: dict[str, float]) -> dict[int, dict[str, int]]:
@@ -159,7 +161,8 @@ def assign(manifest: DataFrame, aliases: DataFrame, shares: dict[str, float] | N
         before = F.floor(F.col("_k") * F.col(f"n{i}") / F.col("_n"))
         dealt = dealt.withColumn("split", F.when(hit, F.lit(names[i])).otherwise(F.col("split"))).withColumn("_k", F.col("_k") - before).withColumn("_n", F.greatest(F.col("_n") - F.col(f"n{i}"), F.lit(1)))
     dealt = dealt.select("grp", "group_rows", F.coalesce("split", F.lit(names[0])).alias("split"))
-    return rows.filter(F.col("pair_id").isNotNull()).select("pair_id", "grp").distinct().join(dealt, "grp").select("pair_id", F.lower(F.hex("grp")).alias("grp"), "group_rows", "split")
+    pairs = rows.filter(F.col("pair_id").isNotNull()).select("pair_id", "grp").distinct()
+    return lookup(pairs, dealt, "grp", rows.count()).select("pair_id", F.lower(F.hex("grp")).alias("grp"), "group_rows", "split")
 
 
 def share_report(assigned: DataFrame) -> DataFrame:
