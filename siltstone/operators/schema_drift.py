@@ -2,13 +2,13 @@
 
 A file's schema is every path of its valid records with the set of JSON types seen there. Schemas are
 fingerprinted; a feed's file opens a new version when its fingerprint differs from its predecessor's,
-and only such pairs of files are compared. The differences are the migration steps: renames found in
-them link the names a field has had, and every file is routed through those names, defaults and casts
-into one table.
+and only such pairs of files are compared. The differences are the migration steps: every file is routed
+through its feed's chain of renames, then through defaults and casts, into one table.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from siltstone.functions.json_text import as_text, clean, parse_object, type_of
-from siltstone.runtime import stored
+from siltstone.runtime import small_enough, stored
 
 #: JSON types by their bit in a type set.
 TYPES = ("string", "integer", "fraction", "boolean", "object", "array")
@@ -108,7 +108,7 @@ def versions(schemas: DataFrame) -> DataFrame:
 
 def migration_steps(schemas: DataFrame) -> DataFrame:
     """Every change of a file against the preceding one: feed, file_no, previous_no, change_kind, field_path,
-    old_path, old_types, new_types.
+    old_path, old_types, new_types, parent.
 
     Paths below a changed one are left out. Where several paths of one parent and type set vanish and appear
     at once, they are paired in order of their names, and what is left over is removed or added.
@@ -130,12 +130,12 @@ def migration_steps(schemas: DataFrame) -> DataFrame:
     ranked = top.withColumn("_shape", F.when(F.col("_kind") == "type_changed", F.lit(-1)).otherwise(shape)).withColumn(
         "_rank", F.row_number().over(Window.partitionBy("feed", "file_no", "parent", "_shape", "_kind").orderBy("path"))
     )
-    changes = ranked.filter(F.col("_kind") == "type_changed").select("feed", "file_no", "previous_no", F.lit("type_changed").alias("change_kind"), F.col("path").alias("field_path"), F.col("path").alias("old_path"), "old_types", "new_types")
+    changes = ranked.filter(F.col("_kind") == "type_changed").select("feed", "file_no", "previous_no", F.lit("type_changed").alias("change_kind"), F.col("path").alias("field_path"), F.col("path").alias("old_path"), "old_types", "new_types", "parent")
     paired = ranked.filter(F.col("_kind") != "type_changed").groupBy("feed", "file_no", "previous_no", "parent", "_shape", "_rank").agg(
         F.max(F.when(F.col("_kind") == "removed", F.col("path"))).alias("old_path"), F.max(F.when(F.col("_kind") == "added", F.col("path"))).alias("new_path"), F.max("old_types").alias("old_types"), F.max("new_types").alias("new_types")
     )
     kind = F.when(F.col("old_path").isNull(), "added").when(F.col("new_path").isNull(), "removed").otherwise("renamed")
-    return changes.unionByName(paired.select("feed", "file_no", "previous_no", kind.alias("change_kind"), F.coalesce("new_path", "old_path").alias("field_path"), "old_path", "old_types", "new_types"))
+    return changes.unionByName(paired.select("feed", "file_no", "previous_no", kind.alias("change_kind"), F.coalesce("new_path", "old_path").alias("field_path"), "old_path", "old_types", "new_types", "parent"))
 
 
 @dataclass(frozen=True)
@@ -160,22 +160,9 @@ CAPABILITY_TARGETS = (
 )
 
 
-def known_names(steps: DataFrame, schemas: DataFrame, targets=CAPABILITY_TARGETS) -> dict[str, list[str]]:
-    """Of each path on the way to a target, the names it has had under the same parent.
-
-    A rename in either direction links two names; a name that some file has beside the target is another
-    field and is not taken. Only names are gathered: their number is that of distinct renames under the
-    parents of the targets, which the schema bounds, not the rows.
-    """
-    wanted = sorted({part for t in targets for part in _prefixes(t.path)})
-    renames = steps.filter(F.col("change_kind") == "renamed").select(F.col("old_path").alias("a"), F.col("field_path").alias("b")).distinct()
-    links = renames.unionByName(renames.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().filter(F.col("a").isin(wanted))
-    seen = schemas.select(F.transform("paths", lambda p: p["path"]).alias("has"))
-    together = links.join(seen, F.array_contains("has", F.col("a")) & F.array_contains("has", F.col("b")), "left_semi")
-    found: dict[str, list[str]] = {}
-    for a, b in sorted(links.join(together, ["a", "b"], "left_anti").collect()):
-        found.setdefault(a, []).append(b)
-    return found
+def _stems(targets) -> list[str]:
+    """Every path on the way to a target, without the '[]' at its end, enclosing paths first."""
+    return sorted({p for t in targets for p in _prefixes(t.path)}, key=lambda p: (p.count("."), p))
 
 
 def _prefixes(path: str) -> list[str]:
@@ -186,13 +173,118 @@ def _prefixes(path: str) -> list[str]:
     return found
 
 
-def _reader(target: Target, names: dict[str, list[str]]):
-    """The keys that lead to a target, each with the names it may have; '*' takes all, '[]' goes into a list."""
-    steps, parts = [], target.path.split(".")
-    for i, part in enumerate(parts):
-        stem = ".".join(parts[:i] + [part.removesuffix("[]")])
-        last = lambda p: p.rpartition(".")[2]
-        steps.append([last(stem), *[last(x) for x in names.get(stem, [])]])
+def _split(stem: str) -> tuple[str, str, str]:
+    """(stem of the enclosing path, its '[]' if it is a list, key)."""
+    parent, _, key = stem.rpartition(".")
+    above = parent.removesuffix("[]")
+    return above, parent[len(above) :], key
+
+
+def _below(parent: str, key: str) -> str:
+    return f"{parent}.{key}" if parent else key
+
+
+def _closure(first: str, links) -> list[str]:
+    found = [first]
+    for name in found:
+        found += sorted({b for a, b in links if a == name} - {*found})
+    return found
+
+
+def _linked(steps: DataFrame, schemas: DataFrame, targets) -> tuple[dict[str, list[str]], dict[str, list[str]], list[str]]:
+    """(keys by stem, keys by stem with doubtful ones, paths they may form): the keys that a chain of renames, in
+    either direction, links to the key of a stem, that key first.
+
+    Renames below a renamed path count for the path's stem. A link is doubtful if some file has both names side
+    by side. Only names are gathered: their number is that of distinct renames under the parents of the targets,
+    which the schema bounds, not the rows.
+    """
+    sure, every, paths = {}, {}, {"": [""]}
+    renames = steps.filter(F.col("change_kind") == "renamed").select("parent", F.col("old_path").alias("a"), F.col("field_path").alias("b"))
+    seen = schemas.select(F.transform("paths", lambda p: p["path"]).alias("has"))
+    stems = _stems(targets)
+    for depth in sorted({s.count(".") for s in stems}):
+        level = [(s, *_split(s)) for s in stems if s.count(".") == depth]
+        parents = sorted({p + suffix for _, above, suffix, _ in level for p in paths[above]})
+        met = renames.filter(F.col("parent").isin(parents)).distinct()
+        pairs = {(r.parent, r.a, r.b) for r in met.collect()}
+        beside = {(r.parent, r.a, r.b) for r in met.join(seen, F.array_contains("has", F.col("a")) & F.array_contains("has", F.col("b")), "left_semi").collect()} if pairs else set()
+        for stem, above, suffix, key in level:
+            own = {p + suffix for p in paths[above]}
+            keys = lambda rows: {x for p, a, b in rows if p in own for k in [len(_below(p, ""))] for x in ((a[k:], b[k:]), (b[k:], a[k:]))}  # noqa: B023, E731
+            links = keys(pairs)
+            sure[stem], every[stem] = _closure(key, links - keys(beside)), _closure(key, links)
+            paths[stem] = [_below(p, k) for p in sorted(own) for k in every[stem]]
+    return sure, every, sorted({p for some in paths.values() for p in some})
+
+
+def known_names(steps: DataFrame, schemas: DataFrame, targets=CAPABILITY_TARGETS) -> dict[str, list[str]]:
+    """Of each path on the way to a target, the other names it has had under the same parent, over all feeds."""
+    return _names(_linked(steps, schemas, targets)[0])
+
+
+def _names(keys: dict[str, list[str]]) -> dict[str, list[str]]:
+    return {s: [_below(s.rpartition(".")[0], k) for k in found[1:]] for s, found in keys.items() if len(found) > 1}
+
+
+def _feed_routes(files, stems, sure, every) -> list[dict[str, str]]:
+    """Of each file of a feed, the key of every stem where it differs from the stem's own.
+
+    files: (paths, renames) in order. A key is followed from file to file through the renames; of the keys it may
+    have in the first file, the one counts that is the stem's own in some file and is there in most files. Where a
+    file lacks the followed key, it may have another known one.
+    """
+    own, routes = {"": [""] * len(files)}, [{} for _ in files]
+    for stem in stems:
+        above, suffix, key = _split(stem)
+        parents = [p + suffix for p in own[above]]
+        best, followed = (False, -1), [key] * len(files)
+        for start in dict.fromkeys([*sure[stem], *every[stem]]):
+            name, track = start, []
+            for (_, renames), parent in zip(files, parents):
+                name = next((new[len(_below(parent, "")) :] for old, new in renames if old == _below(parent, name)), name)
+                track.append(name)
+            there = [_below(p, n) in has for (has, _), p, n in zip(files, parents, track)]
+            score = any(x and n == key for x, n in zip(there, track)), sum(there)
+            if score > best and (score[0] or start in sure[stem]):
+                best, followed = score, track
+        own[stem] = []
+        for (has, _), parent, name, route in zip(files, parents, followed, routes):
+            found = next((n for n in (name, *sure[stem]) if _below(parent, n) in has), key)
+            own[stem].append(_below(parent, found))
+            if found != key:
+                route[stem] = found
+    return routes
+
+
+def file_routes(steps: DataFrame, schemas: DataFrame, targets=CAPABILITY_TARGETS) -> tuple[dict[str, list[str]], DataFrame]:
+    """(known names, (feed, file_no, route)): of every file the keys that lead to the targets in it, as JSON.
+
+    The route follows the feed's own migration steps from file to file. A feed is one group, of which only the
+    paths and renames on the way to the targets are moved.
+    """
+    sure, every, paths = _linked(steps, schemas, targets)
+    stems = _stems(targets)
+    has = F.transform(F.filter("paths", lambda p: p["path"].isin(paths) & (p["types"] != 0)), lambda p: p["path"])
+    renames = steps.filter((F.col("change_kind") == "renamed") & F.col("old_path").isin(paths) & F.col("field_path").isin(paths))
+    by_file = renames.groupBy("feed", "file_no").agg(F.collect_list(F.struct("old_path", "field_path")).alias("renames"))
+    files = schemas.select("feed", "file_no", has.alias("has")).join(by_file, ["feed", "file_no"], "left")
+    schema = T.StructType([schemas.schema["feed"], schemas.schema["file_no"], T.StructField("route", T.StringType())])
+
+    def stage(feed: pa.Table) -> pa.Table:
+        feed = feed.sort_by("file_no")
+        rows = [({*h}, [(r["old_path"], r["field_path"]) for r in m or []]) for h, m in zip(feed["has"].to_pylist(), feed["renames"].to_pylist())]
+        routes = [json.dumps(r, sort_keys=True) for r in _feed_routes(rows, stems, sure, every)]
+        return pa.table([feed["feed"], feed["file_no"], pa.array(routes, pa.string())], names=schema.names)
+
+    return _names(sure), files.groupBy("feed").applyInArrow(stage, schema)
+
+
+def _reader(target: Target, keys):
+    """The keys that lead to a target, each with the names it may have (keys: by stem); '*' takes all, '[]' goes into a list."""
+    steps = []
+    for part, stem in zip(target.path.split("."), _prefixes(target.path)):
+        steps.append(keys(stem))
         if part.endswith("[]"):
             steps.append(None)
     return steps
@@ -220,8 +312,9 @@ def _collect(value, steps, at, out):
         out.append(clean(value.rpartition(" [")[2][:-1]))  # an entry written as one line: tactic::technique [id]
 
 
-def consistent_table(records: DataFrame, names: dict[str, list[str]], targets=CAPABILITY_TARGETS) -> DataFrame:
-    """Every valid record in one shape: record_id, feed, file_no and the targets, found under any of their names.
+def consistent_table(records: DataFrame, names: dict[str, list[str]], targets=CAPABILITY_TARGETS, routes: DataFrame | None = None) -> DataFrame:
+    """Every valid record in one shape: record_id, feed, file_no and the targets, found by the route of the record's
+    file; without routes, and for records of no file, under any of their names.
 
     Scalars are cast to text, a missing scalar is the target's default, a missing list is empty. Null, broken
     and non-object reports give no row.
@@ -229,24 +322,37 @@ def consistent_table(records: DataFrame, names: dict[str, list[str]], targets=CA
     arrow = {"string": pa.string(), "array<string>": pa.list_(pa.string())}
     spark_type = {"string": T.StringType(), "array<string>": T.ArrayType(T.StringType())}
     schema = T.StructType([records.schema["record_id"], records.schema["feed"], records.schema["file_no"], *[T.StructField(t.column, spark_type[t.cast]) for t in targets]])
-    readers = [_reader(t, names) for t in targets]
+    key = lambda stem: stem.rpartition(".")[2]
+    readers = {None: [_reader(t, lambda s: [key(s), *[n[len(s) - len(key(s)) :] for n in names.get(s, [])]]) for t in targets]}
+
+    def readers_of(route):
+        if route not in readers:
+            keys = json.loads(route)
+            readers[route] = [_reader(t, lambda s: [keys.get(s, key(s))]) for t in targets]
+        return readers[route]
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, columns = [], [[] for _ in targets]
-            for i, text in enumerate(batch.column("report").to_pylist()):
+            for i, (text, route) in enumerate(zip(batch.column("report").to_pylist(), batch.column("route").to_pylist())):
                 document = parse_object(text, keep_entries=False)
                 if document is None:
                     continue
                 keep.append(i)
-                for t, steps, column in zip(targets, readers, columns):
+                for t, steps, column in zip(targets, readers_of(route), columns):
                     values: list = []
                     _collect(document, steps, 0, values)
                     column.append(values if t.cast != "string" else values[0] if values else t.default)
             ids = [batch.column(c).take(pa.array(keep, pa.int32())) for c in ("record_id", "feed", "file_no")]
             yield pa.RecordBatch.from_arrays([*ids, *[pa.array(c, arrow[t.cast]) for t, c in zip(targets, columns)]], names=schema.names)
 
-    return records.select("record_id", "feed", "file_no", F.col("report").cast("string").alias("report")).mapInArrow(stage, schema)
+    rows = records.select("record_id", "feed", "file_no", F.col("report").cast("string").alias("report"))
+    if routes is None:
+        rows = rows.withColumn("route", F.lit(None).cast("string"))
+    else:
+        routes = stored(routes, "file-routes")
+        rows = rows.join(F.broadcast(routes) if small_enough(routes.count(), 200) else routes, ["feed", "file_no"], "left")
+    return rows.select("record_id", "feed", "file_no", "report", "route").mapInArrow(stage, schema)
 
 
 def type_names(column: str) -> F.Column:

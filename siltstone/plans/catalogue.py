@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text
 from siltstone.operators import budgets, capability, classifier, context, extraction, facts, manifest, metrics, policy, rules, schema_drift, shredding
-from siltstone.runtime import read
+from siltstone.runtime import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,7 +97,8 @@ def p3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read(spark, sf_dir, "capa_report")
     schemas, steps = schema_drift.drift(records)
-    table = schema_drift.consistent_table(records, schema_drift.known_names(steps, schemas))
+    names, routes = schema_drift.file_routes(stored(steps, "migration-steps"), schemas)
+    table = schema_drift.consistent_table(records, names, routes=routes)
     lists = {c: F.array_join(c, "|").alias(c) for c, t in table.dtypes if t.startswith("array")}
     return table.select(*[lists.get(c, F.col(c)) for c in table.columns])
 

@@ -51,3 +51,25 @@ def test_names_lead_through_renames(spark):
     assert names["meta.version"] == ["meta.capa_version"]
     got = {r.file_no: (r.meta_version, r.technique_ids) for r in sd.consistent_table(records, names).collect()}
     assert got[1] == ("1", ["T1"]) and got[2] == ("2", ["T2"]) and got[4] == ("4", ["T4"]) and got[5] == (None, [])
+
+
+def routed(spark, rows):
+    records = table(spark, rows)
+    schemas, steps = sd.drift(records)
+    names, routes = sd.file_routes(steps, schemas)
+    return {(r.feed, r.file_no): (r.meta_version, r.technique_ids) for r in sd.consistent_table(records, names, routes=routes).collect()}
+
+
+def test_files_are_routed_through_chained_renames(spark):
+    rule = lambda name, entry: {"r": {"meta": {name: [entry]}}}
+    rows = [
+        ("a", 1, {"meta": {"version": "1"}, "rules": rule("attack", {"id": "T1"})}),
+        ("a", 2, {"meta": {"capa_version": "2"}, "rules": rule("att&ck", {"id": "T2"})}),
+        ("a", 3, {"meta": {"release": "3"}, "rules": rule("att&ck", {"technique_id": "T3"})}),
+        ("a", 4, {"meta": {"release": "4", "version": "other"}, "rules": rule("att&ck", {"technique_id": "T4"})}),
+        ("b", 1, {"meta": {"release": "5"}, "rules": rule("att&ck", {"technique_id": "T5"})}),
+        ("b", 2, {"meta": {"version": "6"}, "rules": rule("attack", {"technique_id": "T6"})}),
+        ("c", 1, {"meta": {"capa_version": "7"}, "rules": rule("att&ck", {"id": "T7"})}),
+        (None, 1, {"meta": {"capa_version": "8"}, "rules": rule("att&ck", {"technique_id": "T8"})}),
+    ]
+    assert routed(spark, rows) == {(f, n): (str(i), [f"T{i}"]) for i, (f, n, _) in enumerate(rows, 1)}
