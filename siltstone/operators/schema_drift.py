@@ -140,17 +140,22 @@ def migration_steps(schemas: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Target:
-    """A column of the consistent table: the path it is read from, its type there, and what stands for a missing value."""
+    """A column of the consistent table: the path it is read from, its type there, and what stands for a missing value.
+
+    An object is cast to the fields of the first group of `objects` that it has all of, joined by dots, else to its
+    JSON text.
+    """
 
     column: str
     path: str
     cast: str = "string"
     default: object = None
+    objects: tuple[tuple[str, ...], ...] = ()
 
 
 #: The consistent table of capability reports.
 CAPABILITY_TARGETS = (
-    Target("meta_version", "meta.version"),
+    Target("meta_version", "meta.version", objects=(("label",), ("major", "minor"))),
     Target("analysed_at", "meta.timestamp"),
     Target("sample_sha256", "meta.sample.sha256"),
     Target("sample_path", "meta.sample.path"),
@@ -290,10 +295,19 @@ def _reader(target: Target, keys):
     return steps
 
 
+def _cast(value, target: Target) -> str:
+    if isinstance(value, dict):
+        for fields in target.objects:
+            parts = [value.get(f) for f in fields]
+            if not any(p is None or isinstance(p, (dict, list)) for p in parts):
+                return ".".join(map(as_text, parts))
+    return as_text(value)
+
+
 def _collect(value, steps, at, out):
     if at == len(steps):
-        if not isinstance(value, (dict, list)) and value is not None:
-            out.append(as_text(value))
+        if value is not None:
+            out.append(value)
         return
     keys = steps[at]
     if keys is None:
@@ -309,15 +323,16 @@ def _collect(value, steps, at, out):
                     _collect(value[key], steps, at + 1, out)
                     break
     elif isinstance(value, str) and at == len(steps) - 1 and value.endswith("]") and " [" in value:
-        out.append(clean(value.rpartition(" [")[2][:-1]))  # an entry written as one line: tactic::technique [id]
+        out.append(value.rpartition(" [")[2][:-1])  # an entry written as one line: tactic::technique [id]
 
 
 def consistent_table(records: DataFrame, names: dict[str, list[str]], targets=CAPABILITY_TARGETS, routes: DataFrame | None = None) -> DataFrame:
     """Every valid record in one shape: record_id, feed, file_no and the targets, found by the route of the record's
     file; without routes, and for records of no file, under any of their names.
 
-    Scalars are cast to text, a missing scalar is the target's default, a missing list is empty. Null, broken
-    and non-object reports give no row.
+    Scalars are cast to text, objects by the target's rule, lists at a scalar target to JSON text; at a list target
+    a list adds its items. A missing scalar is the target's default, a missing list is empty. Null, broken and
+    non-object reports give no row.
     """
     arrow = {"string": pa.string(), "array<string>": pa.list_(pa.string())}
     spark_type = {"string": T.StringType(), "array<string>": T.ArrayType(T.StringType())}
@@ -342,7 +357,10 @@ def consistent_table(records: DataFrame, names: dict[str, list[str]], targets=CA
                 for t, steps, column in zip(targets, readers_of(route), columns):
                     values: list = []
                     _collect(document, steps, 0, values)
-                    column.append(values if t.cast != "string" else values[0] if values else t.default)
+                    if t.cast == "string":
+                        column.append(_cast(values[0], t) if values else t.default)
+                    else:
+                        column.append([_cast(x, t) for v in values for x in (v if isinstance(v, list) else [v]) if x is not None])
             ids = [batch.column(c).take(pa.array(keep, pa.int32())) for c in ("record_id", "feed", "file_no")]
             yield pa.RecordBatch.from_arrays([*ids, *[pa.array(c, arrow[t.cast]) for t, c in zip(targets, columns)]], names=schema.names)
 

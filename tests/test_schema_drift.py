@@ -73,3 +73,12 @@ def test_files_are_routed_through_chained_renames(spark):
         (None, 1, {"meta": {"capa_version": "8"}, "rules": rule("att&ck", {"technique_id": "T8"})}),
     ]
     assert routed(spark, rows) == {(f, n): (str(i), [f"T{i}"]) for i, (f, n, _) in enumerate(rows, 1)}
+
+
+def test_objects_and_lists_are_cast(spark):
+    versions = [{"major": 7, "minor": 4, "label": "7.3.2"}, {"major": 7, "minor": 0, "label": None}, {"build": [1]}, [7, "x"], {}, True, None]
+    rows = [("a", n, {"meta": {"version": v}, "rules": {"r": {"meta": {"namespace": ["x", None, {"y": 1}], "attack": [{"id": ["T1", "T2"]}, {"id": {"n": 3}}]}}}}) for n, v in enumerate(versions)]
+    records = table(spark, rows)
+    got = {r.file_no: r for r in sd.consistent_table(records, {}).collect()}
+    assert [got[n].meta_version for n in range(len(rows))] == ["7.3.2", "7.0", '{"build":[1]}', '[7,"x"]', "{}", "true", None]
+    assert got[0].namespaces == ["x", '{"y":1}'] and got[0].technique_ids == ["T1", "T2", '{"n":3}']
