@@ -10,7 +10,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from siltstone.functions.json_text import parse_object
 from siltstone.functions.text import widened
 from siltstone.operators.budgets import first_per_group
 
@@ -173,3 +176,97 @@ def structure_errors(reports: DataFrame) -> DataFrame:
         UNION ALL SELECT report_id, concat('/behavior/processes/', process_pos, '/calls/', pos, '/api'), 'api is missing or no text'
             FROM calls WHERE is_object AND NOT coalesce(schema_of_variant(try_variant_get(value, '$.api', 'variant')) = 'STRING', false)
     """, rows=view)
+
+
+_wide_text = re.compile(r"(?:[ -~\r\n\t\xa1-\xac\xae-\xff]\x00){2,}")
+
+
+def _ingest(report, budget: int) -> tuple[list[tuple[str, str]], bool]:
+    """(errors, truncated) of a parsed report in document order; nothing is looked at after text budget + 1."""
+    errors: list[tuple[str, str]] = []
+
+    def wrong(holder, name, path, kind, noun):
+        value = holder.get(name)
+        if isinstance(value, kind):
+            return False
+        errors.append((f"{path}/{name}", f"{name} is missing" if value is None else f"{name} is no {noun}"))
+        return True
+
+    def untexted(holder, name, path):
+        if isinstance(holder.get(name), str):
+            return False
+        errors.append((f"{path}/{name}", f"{name} is missing or no text"))
+        return True
+
+    def arguments(call, at):
+        """Whether each text argument of a call is one to keep."""
+        if not isinstance(call, dict):
+            errors.append((at, "call is no object"))
+            return
+        if untexted(call, "api", at) or call["api"] not in TEXT_ARGUMENTS:
+            return
+        if not isinstance(call.get("timestamp"), (str, type(None))):
+            errors.append((f"{at}/timestamp", "timestamp is no text"))
+        if wrong(call, "arguments", at, list, "list"):
+            return
+        for k, argument in enumerate(call["arguments"]):
+            here = f"{at}/arguments/{k}"
+            if not isinstance(argument, dict):
+                errors.append((here, "argument is no object"))
+            elif not untexted(argument, "name", here) and argument["name"] in TEXT_ARGUMENTS[call["api"]] and not untexted(argument, "value", here):
+                value = argument["value"]
+                value = value[::2] if _wide_text.fullmatch(value) else value
+                if len(value) >= STRING_CHARS and not value.startswith("0x"):
+                    yield
+
+    def texts():
+        if not isinstance(report, dict):
+            errors.append(("/", "report is no object"))
+            return
+        if wrong(report, "behavior", "", dict, "object") or wrong(report["behavior"], "processes", "/behavior", list, "list"):
+            return
+        for i, process in enumerate(report["behavior"]["processes"]):
+            at = f"/behavior/processes/{i}"
+            if not isinstance(process, dict):
+                errors.append((at, "process is no object"))
+                continue
+            pid = process.get("process_id")
+            if isinstance(pid, bool) or not isinstance(pid, (int, str, type(None))):
+                errors.append((f"{at}/process_id", "process_id is no integer or text"))
+            if not wrong(process, "calls", at, list, "list"):
+                for j, call in enumerate(process["calls"]):
+                    yield from arguments(call, f"{at}/calls/{j}")
+
+    truncated = any(n >= budget for n, _ in enumerate(texts()))
+    return errors, truncated
+
+
+def _ingested(reports: DataFrame, budget: int, fields: str, rows_of) -> DataFrame:
+    if budget < 0:
+        raise ValueError("the budget is negative")
+    kind = reports.schema["report_id"].dataType.simpleString()
+    schema = T.StructType.fromDDL(f"report_id {kind}, {fields}")
+    arrow = to_arrow_schema(schema)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows = [], []
+            for at, text in enumerate(batch.column("report")):
+                found = rows_of(*_ingest(parse_object(text.as_py(), keep_entries=False), budget))
+                owner += [at] * len(found)
+                rows += found
+            columns = list(zip(*rows)) or [()] * (len(arrow) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("report_id").take(pa.array(owner, pa.int32())), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:])]], names=arrow.names)
+
+    return reports.select("report_id", F.col("report").cast("string").alias("report")).mapInArrow(stage, schema)
+
+
+def telemetry_errors(reports: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(report_id, ord, path, reason) of what is not as it should be down to the listed arguments' values, in document
+    order. What follows a report's text budget + 1 is not looked at. Of a repeated key the last value counts."""
+    return _ingested(reports, budget, "ord int, path string, reason string", lambda errors, _: [(n, *e) for n, e in enumerate(errors)])
+
+
+def telemetry_coverage(reports: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(report_id, coverage, errors, truncated): COMPLETE for reports without errors and within the budget, else PARTIAL."""
+    return _ingested(reports, budget, "coverage string, errors int, truncated boolean", lambda errors, over: [("PARTIAL" if errors or over else "COMPLETE", len(errors), over)])

@@ -199,7 +199,12 @@ def q_telemetry_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_structure_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.structure_errors(read(spark, sf_dir, "cape_report"))
+    return extraction.telemetry_errors(read(spark, sf_dir, "cape_report")).drop("ord")
+
+
+@query()
+def q_telemetry_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.telemetry_coverage(read(spark, sf_dir, "cape_report"))
 
 
 # Rules. The tables hold none of the phrases, so both sides add one to some rows, by the row's id.
