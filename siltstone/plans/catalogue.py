@@ -155,20 +155,46 @@ def q_static_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUDGET = 200
 
 
-@query(f"""WITH r AS (SELECT artifact_sha256, string_id, row_number() OVER (PARTITION BY artifact_sha256 ORDER BY ord NULLS FIRST, string_id) AS place, count(*) OVER (PARTITION BY artifact_sha256) AS n FROM raw_string)
-    SELECT artifact_sha256, string_id, place::INT AS place, n > {_BUDGET} AS truncated FROM r WHERE place <= {_BUDGET}""")
-def q_string_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strings = read(spark, sf_dir, "raw_string").select("artifact_sha256", "ord", "string_id")
-    return budgets.first_per_group(strings, ["artifact_sha256"], ["ord", "string_id"], _BUDGET).select("artifact_sha256", "string_id", "place", "truncated")
+def _string_budget_sql(most: int) -> str:
+    return f"""WITH r AS (SELECT artifact_sha256, string_id, row_number() OVER (PARTITION BY artifact_sha256 ORDER BY ord NULLS FIRST, string_id) AS place, count(*) OVER (PARTITION BY artifact_sha256) AS n FROM raw_string)
+    SELECT artifact_sha256, string_id, place::INT AS place, n > {most} AS truncated FROM r WHERE place <= {most}"""
 
 
-@query(f"""WITH d AS (SELECT artifact_sha256, raw_string, min(struct_pack(o := coalesce(ord, -1), i := string_id)) AS head FROM raw_string WHERE raw_string <> '' GROUP BY 1, 2),
+def _text_budget_sql(most: int) -> str:
+    return f"""WITH d AS (SELECT artifact_sha256, raw_string, min(struct_pack(o := coalesce(ord, -1), i := string_id)) AS head FROM raw_string WHERE raw_string <> '' GROUP BY 1, 2),
     r AS (SELECT artifact_sha256, head.i AS first_string, row_number() OVER (PARTITION BY artifact_sha256 ORDER BY head) AS place, count(*) OVER (PARTITION BY artifact_sha256) AS n FROM d)
-    SELECT artifact_sha256, first_string, place::INT AS place, n > {_BUDGET} AS truncated FROM r WHERE place <= {_BUDGET}""")
+    SELECT artifact_sha256, first_string, place::INT AS place, n > {most} AS truncated FROM r WHERE place <= {most}"""
+
+
+def _string_budget(strings: DataFrame, most: int) -> DataFrame:
+    rows = strings.select("artifact_sha256", "ord", "string_id")
+    return budgets.first_per_group(rows, ["artifact_sha256"], ["ord", "string_id"], most).select("artifact_sha256", "string_id", "place", "truncated")
+
+
+def _text_budget(strings: DataFrame, most: int) -> DataFrame:
+    filled = strings.filter(F.col("raw_string") != "").select("artifact_sha256", "raw_string", F.coalesce("ord", F.lit(-1)).alias("o"), F.col("string_id").alias("i"))
+    texts = filled.groupBy("artifact_sha256", F.sha2("raw_string", 256).alias("text")).agg(F.min(F.struct("o", "i")).alias("at")).select("artifact_sha256", "at.*")
+    return budgets.first_per_group(texts, ["artifact_sha256"], ["o", "i"], most).select("artifact_sha256", F.col("i").alias("first_string"), "place", "truncated")
+
+
+@query(_string_budget_sql(_BUDGET))
+def q_string_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _string_budget(read(spark, sf_dir, "raw_string"), _BUDGET)
+
+
+@query(_text_budget_sql(_BUDGET))
 def q_text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strings = read(spark, sf_dir, "raw_string").filter(F.col("raw_string") != "").select("artifact_sha256", "raw_string", F.coalesce("ord", F.lit(-1)).alias("o"), F.col("string_id").alias("i"))
-    texts = strings.groupBy("artifact_sha256", F.sha2("raw_string", 256).alias("text")).agg(F.min(F.struct("o", "i")).alias("at")).select("artifact_sha256", "at.*")
-    return budgets.first_per_group(texts, ["artifact_sha256"], ["o", "i"], _BUDGET).select("artifact_sha256", F.col("i").alias("first_string"), "place", "truncated")
+    return _text_budget(read(spark, sf_dir, "raw_string"), _BUDGET)
+
+
+@query(_string_budget_sql(extraction.BUDGET))
+def q_string_budget_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _string_budget(read(spark, sf_dir, "raw_string"), extraction.BUDGET)
+
+
+@query(_text_budget_sql(extraction.BUDGET))
+def q_text_budget_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_budget(read(spark, sf_dir, "raw_string"), extraction.BUDGET)
 
 
 _IN_LISTS = """
