@@ -108,6 +108,22 @@ def text_chunks(df: DataFrame, text: str, size: int = CHUNK_CHARS) -> DataFrame:
     return cut.select(*rest, (F.col("_at") / size).cast("int").alias("chunk_no"), F.substring(F.col(text), F.col("_at") + 1, F.lit(size)).alias("chunk"))
 
 
+def measured(df: DataFrame, text: str) -> DataFrame:
+    """df with the entropy of text in bits a character: 0 for empty text, null for null. Its cost is linear, however
+    long a text is."""
+
+    @F.arrow_udf("double")
+    def entropy(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _entropy(t) or 0.0 for t in texts.to_pylist()], pa.float64())
+
+    return df.withColumn("entropy", entropy(F.col(text)))
+
+
+def candidates(df: DataFrame, text: str) -> DataFrame:
+    """The rows of df whose text is long enough and neither too regular nor too random, with its entropy."""
+    return measured(df.filter(F.length(text) >= STRING_CHARS), text).filter(F.col("entropy").between(ENTROPY_LOW, ENTROPY_HIGH))
+
+
 def telemetry_calls(reports: DataFrame) -> DataFrame:
     """(report_id, artifact_sha256, process_pos, call_pos, pid, api, call): calls in lists of processes in lists.
 

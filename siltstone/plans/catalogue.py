@@ -132,6 +132,18 @@ def q_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strings.select("string_id", F.round(text.entropy(F.col("raw_string")), 6).alias("entropy"))
 
 
+@query()
+def q_entropy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strings = read(spark, sf_dir, "raw_string").filter(F.col("raw_string").isNotNull())
+    return extraction.measured(strings, "raw_string").select("string_id", F.round("entropy", 6).alias("entropy"))
+
+
+@query()
+def q_entropy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = extraction.text_chunks(read(spark, sf_dir, "raw_string").select("string_id", "raw_string"), "raw_string")
+    return extraction.candidates(chunks, "chunk").select("string_id", "chunk_no", F.round("entropy", 6).alias("entropy"))
+
+
 # Extraction.
 @query("""WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 256)) AS start_at FROM documents WHERE length(text) > 0)
     SELECT doc_id, (start_at / 256)::INT AS chunk_no, substr(text, start_at + 1, 256) AS chunk FROM s""")
