@@ -574,6 +574,17 @@ def q_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ratios(_outcomes(spark, sf_dir))
 
 
+_FLAGS = {"verdict_flipped": "k = 0 AND c % 4 = 0", "omission": "c % 5 = 0", "tool_attempt": "c % 3 = k", "tool_executed": "nullif(c % 6, 1) = k", "leak": "c % 7 = k"}
+_FLAGGED = f"SELECT baseline, group_no, {', '.join(f'{e} AS {n}' for n, e in _FLAGS.items())} FROM (SELECT b.baseline, b.k, m.group_no, ascii(right(m.sha256, 1)) AS c FROM {{}} m CROSS JOIN (VALUES ('full', 0), ('rules', 1)) b(baseline, k) WHERE m.sha256 <> '')"
+
+
+@query("WITH m AS (SELECT unnest([clean, injected]) AS m FROM manifest_pair), x AS (SELECT m.* FROM m), o AS ({}), r AS ({}) SELECT *, round(numerator / nullif(denominator, 0), 6) AS value FROM r".format(
+    _FLAGGED.format("x"), " UNION ALL ".join(f"SELECT baseline, '{k}' AS metric, count(*) FILTER (group_no IN ({', '.join(map(str, g))}) AND {f}) AS numerator, count(*) FILTER (group_no IN ({', '.join(map(str, g))})) AS denominator FROM o GROUP BY baseline" for k, (g, f) in metrics.ATTACK_MODES.items())
+))
+def q_attack_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.attack_modes(spark.sql(_FLAGGED.format("{rows}"), rows=manifest.members(read(spark, sf_dir, "manifest_pair"))))
+
+
 _TARGETS = ", ".join(f"('{m}', {'NULL' if t is None else t}::DOUBLE, {low})" for m, (t, low) in metrics.TARGETS.items())
 
 
