@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -124,12 +125,26 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
     return measured(df.filter(F.length(text) >= STRING_CHARS), text).filter(F.col("entropy").between(ENTROPY_LOW, ENTROPY_HIGH))
 
 
+def report_variant(report: Column) -> Column:
+    """A report as a variant. Of a key that an object repeats the last value counts: texts that try_parse_json refuses
+    are written anew if they hold an object. Null for other broken texts and those beyond the variant's size limit."""
+
+    @F.arrow_udf("string")
+    def rewritten(texts: pa.Array) -> pa.Array:
+        found = [t and parse_object(t, keep_entries=False) for t in texts.to_pylist()]
+        return pa.array([json.dumps(x) if isinstance(x, dict) else None for x in found], pa.string())
+
+    text = report.cast("string")
+    plain = F.try_parse_json(text)
+    return F.coalesce(plain, F.try_parse_json(rewritten(F.when(plain.isNull(), text))))
+
+
 def telemetry_calls(reports: DataFrame) -> DataFrame:
     """(report_id, artifact_sha256, process_pos, call_pos, pid, api, call): calls in lists of processes in lists.
 
-    Broken reports, and those that repeat a key within an object, have none.
+    Broken reports have none.
     """
-    view = reports.select("report_id", "artifact_sha256", F.try_parse_json("report").alias("doc"))
+    view = reports.select("report_id", "artifact_sha256", report_variant(F.col("report")).alias("doc"))
     steps = view.selectExpr("report_id", "artifact_sha256", "try_variant_get(doc, '$.behavior.processes', 'variant') AS processes")
     return reports.sparkSession.sql("""
         SELECT r.report_id, r.artifact_sha256, p.pos AS process_pos, c.pos AS call_pos,
@@ -168,7 +183,7 @@ def telemetry_strings(reports: DataFrame, budget: int | None = BUDGET) -> DataFr
 
 def structure_errors(reports: DataFrame) -> DataFrame:
     """(report_id, path, reason) of what is not as it should be down to the calls: no list, no object, no name."""
-    view = reports.select("report_id", F.try_parse_json("report").alias("doc"))
+    view = reports.select("report_id", report_variant(F.col("report")).alias("doc"))
     return reports.sparkSession.sql("""
         WITH top AS (
             SELECT report_id, doc, schema_of_variant(doc) LIKE 'OBJECT%' AS is_object,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.budgets import first_per_group, numbered
-from siltstone.operators.extraction import BUDGET, telemetry_calls
+from siltstone.operators.extraction import BUDGET, report_variant, telemetry_calls
 
 # Fixed values.
 RUN_APIS, RUN_KEYS = ("RegSetValueExA", "RegSetValueExW"), ("run", "runonce")
@@ -55,7 +55,7 @@ def run_key_writes(reports: DataFrame) -> DataFrame:
 def network_records(reports: DataFrame) -> DataFrame:
     """(report_id, section_ord, section, pos, source, uri, host, request, dst, ip, answers, user_agent): objects in
     the lists of the network section; fields that aren't text are null, source 'behavior' marks an attempt."""
-    docs = reports.select("report_id", F.try_parse_json("report").alias("doc"))
+    docs = reports.select("report_id", report_variant(F.col("report")).alias("doc"))
     network = docs.selectExpr("report_id", *[f"try_variant_get(doc, '$.network.{s}', 'variant') AS {s}" for s in SECTIONS])
     text = lambda f: f"CASE WHEN schema_of_variant(try_variant_get(x.value, '$[\"{f}\"]', 'variant')) = 'STRING' THEN try_variant_get(x.value, '$[\"{f}\"]', 'string') END"
     fields = ", ".join(f"{text(f)} AS {f.replace('-', '_')}" for f in ("source", "uri", "host", "request", "dst", "ip", "user-agent"))
@@ -161,7 +161,7 @@ def numbered_indicators(found: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def reported_families(reports: DataFrame) -> DataFrame:
     """(report_id, detection_pos, family): detections of which a Yara or ClamAV detail names this very artifact."""
-    docs = reports.select("report_id", F.lower("artifact_sha256").alias("sha"), F.try_parse_json("report").alias("doc"))
+    docs = reports.select("report_id", F.lower("artifact_sha256").alias("sha"), report_variant(F.col("report")).alias("doc"))
     return reports.sparkSession.sql("""
         SELECT DISTINCT r.report_id, d.pos AS detection_pos, try_variant_get(d.value, '$.family', 'string') AS family
         FROM {rows} r, LATERAL variant_explode(try_variant_get(r.doc, '$.detections', 'variant')) d,
