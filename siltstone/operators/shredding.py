@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.json_text import as_text, entries, parse_object
+from siltstone.runtime import stored
 
 #: Documents go through Python in slices of about this many characters.
 SLICE_CHARS = 4 << 20
@@ -199,16 +200,19 @@ def _table(reports: DataFrame, root: Node, path: str, places: list[str], columns
     return assemble(shred(reports, "report_id", "report", root), root, path, places, columns, "report_id")
 
 
+PROCESS_LEAVES = {"process_id": "process_id", "process_name": "process_name", "parent_id": "parent_id"}
+CALL_LEAVES = {"api": "api", "category": "category", "status": "status", "return_value": "return", "called_at": "timestamp", "thread_id": "thread_id"}
+ARGUMENT_LEAVES = {"argument_name": "name", "argument_value": "value", "pretty_value": "pretty_value"}
+
+
 def processes_table(reports: DataFrame) -> DataFrame:
     """One row per usable process: report_id, process_pos, process_id, process_name, parent_id."""
-    leaves = {"process_id": "process_id", "process_name": "process_name", "parent_id": "parent_id"}
-    return _table(reports, behaviour_layout(processes=tuple(leaves.values())), PROCESS_PATH, ["process_pos"], leaves)
+    return _table(reports, behaviour_layout(processes=tuple(PROCESS_LEAVES.values())), PROCESS_PATH, ["process_pos"], PROCESS_LEAVES)
 
 
 def calls_table(reports: DataFrame) -> DataFrame:
     """One row per usable call, linked to its process by (report_id, process_pos)."""
-    leaves = {"api": "api", "category": "category", "status": "status", "return_value": "return", "called_at": "timestamp", "thread_id": "thread_id"}
-    return _table(reports, behaviour_layout(calls=tuple(leaves.values())), CALL_PATH, ["process_pos", "call_pos"], leaves)
+    return _table(reports, behaviour_layout(calls=tuple(CALL_LEAVES.values())), CALL_PATH, ["process_pos", "call_pos"], CALL_LEAVES)
 
 
 def arguments_table(reports: DataFrame, values: bool = True) -> DataFrame:
@@ -218,6 +222,33 @@ def arguments_table(reports: DataFrame, values: bool = True) -> DataFrame:
     are shredded only if asked for. Null ids, repeated rows and reports without usable parts are kept,
     counted or left out as the lists say; an empty table gives an empty table.
     """
-    leaves = {"argument_name": "name"} | ({"argument_value": "value", "pretty_value": "pretty_value"} if values else {})
+    leaves = ARGUMENT_LEAVES if values else {"argument_name": "name"}
     found = _table(reports, behaviour_layout(arguments=tuple(leaves.values())), ARGUMENT_PATH, ["process_pos", "call_pos", "argument_pos"], leaves)
     return found.withColumn("argument_name", F.coalesce("argument_name", F.lit("")))
+
+
+def behaviour_tables(reports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(processes, calls, arguments) out of one shredding, whose levels are written to the shared folder: the way to take
+    when more than one of the tables is needed."""
+    root = behaviour_layout(*(tuple(x.values()) for x in (PROCESS_LEAVES, CALL_LEAVES, ARGUMENT_LEAVES)))
+    levels = stored(shred(reports, "report_id", "report", root), "shredded-reports")
+    processes = assemble(levels, root, PROCESS_PATH, ["process_pos"], PROCESS_LEAVES, "report_id")
+    calls = assemble(levels, root, CALL_PATH, ["process_pos", "call_pos"], CALL_LEAVES, "report_id")
+    arguments = assemble(levels, root, ARGUMENT_PATH, ["process_pos", "call_pos", "argument_pos"], ARGUMENT_LEAVES, "report_id")
+    return processes, calls, arguments.withColumn("argument_name", F.coalesce("argument_name", F.lit("")))
+
+
+def summary(processes: DataFrame, calls: DataFrame, arguments: DataFrame) -> DataFrame:
+    """(report_id, processes, calls, arguments, orphans): how many rows of each table a report has, and how many calls
+    lack their process or arguments their call; report ids are taken to be unique."""
+    have = [
+        processes.groupBy("report_id", "process_pos").agg(F.count("*").alias("p"), F.lit(0).alias("c"), F.lit(0).alias("a")),
+        calls.groupBy("report_id", "process_pos").agg(F.lit(0).alias("p"), F.count("*").alias("c"), F.lit(0).alias("a")),
+    ]
+    by_call = calls.groupBy("report_id", "process_pos", "call_pos").agg(F.count("*").alias("c"), F.lit(0).alias("a")).unionByName(arguments.groupBy("report_id", "process_pos", "call_pos").agg(F.lit(0).alias("c"), F.count("*").alias("a")))
+    of_call = by_call.groupBy("report_id", "process_pos", "call_pos").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
+    lost = of_call.groupBy("report_id", "process_pos").agg(F.lit(0).alias("p"), F.lit(0).alias("c"), F.sum("a").alias("a"), F.sum(F.when(F.col("c") == 0, F.col("a")).otherwise(0)).alias("lost"))
+    rows = have[0].unionByName(have[1]).withColumn("lost", F.lit(0)).unionByName(lost)
+    of_process = rows.groupBy("report_id", "process_pos").agg(*[F.sum(x).alias(x) for x in ("p", "c", "a", "lost")])
+    orphans = F.col("lost") + F.when(F.col("p") == 0, F.col("c")).otherwise(0)
+    return of_process.groupBy("report_id").agg(F.sum("p").alias("processes"), F.sum("c").alias("calls"), F.sum("a").alias("arguments"), F.sum(orphans).cast("int").alias("orphans"))
