@@ -25,6 +25,14 @@ def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], m
     return placed.withColumn("truncated", F.max("place").over(Window.partitionBy(*group)) > most).filter(F.col("place") <= most)
 
 
+def first_texts(df: DataFrame, group: str, text: str, order: Sequence[str], most: int) -> DataFrame:
+    """(group, order, place, truncated) of the first `most` distinct texts of every group, each at its first place. Empty
+    and null texts are none. Texts are told apart by their SHA-256."""
+    filled = df.filter(F.col(text) != "").select(group, F.sha2(text, 256).alias("_t"), *order)
+    texts = filled.groupBy(group, "_t").agg(F.min(F.struct(*order)).alias("_at")).select(group, "_at.*")
+    return first_per_group(texts, [group], order, most)
+
+
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], keep: Sequence[str]) -> DataFrame:
     """One row per key: the columns `keep` of its first row in order. Combines before the shuffle."""
     first = F.min(F.struct(*[F.col(c) if isinstance(c, str) else c for c in order], F.struct(*keep).alias("_kept"))).alias("_first")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections import Counter
@@ -16,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltstone.functions.json_text import parse_object
 from siltstone.functions.text import widened
+from siltstone.functions.variants import object_variant
 from siltstone.operators.budgets import first_per_group
 
 # Fixed values.
@@ -101,6 +101,11 @@ def extract_strings(artifacts: DataFrame, key: str, data: str, budget: int = BUD
     return rows.select("key", "data", "sections").mapInArrow(stage, f"`{key}` {kind}, ord int, locator string, encoding string, raw_string string, truncated boolean")
 
 
+def printable_runs(text: Column, least: int = STRING_CHARS) -> Column:
+    """The runs of at least `least` printable ASCII characters of a text, in order."""
+    return F.regexp_extract_all(text, F.lit(f"[ -~]{{{least},}}"), F.lit(0))
+
+
 def text_chunks(df: DataFrame, text: str, size: int = CHUNK_CHARS) -> DataFrame:
     """df without text, with chunk_no and chunk: pieces of `size` characters. Null and empty texts have none."""
     starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(size))
@@ -125,18 +130,13 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
     return measured(df.filter(F.length(text) >= STRING_CHARS), text).filter(F.col("entropy").between(ENTROPY_LOW, ENTROPY_HIGH))
 
 
-def report_variant(report: Column) -> Column:
-    """A report as a variant. Of a key that an object repeats the last value counts: texts that try_parse_json refuses
-    are written anew if they hold an object. Null for other broken texts and those beyond the variant's size limit."""
+#: The parts of a report that variants are asked for.
+REPORT_FIELDS = ("behavior", "network", "detections", "target")
 
-    @F.arrow_udf("string")
-    def rewritten(texts: pa.Array) -> pa.Array:
-        found = [t and parse_object(t, keep_entries=False) for t in texts.to_pylist()]
-        return pa.array([json.dumps(x) if isinstance(x, dict) else None for x in found], pa.string())
 
-    text = report.cast("string")
-    plain = F.try_parse_json(text)
-    return F.coalesce(plain, F.try_parse_json(rewritten(F.when(plain.isNull(), text))))
+def report_variant(report: Column) -> Column:
+    """A report as a variant; null for broken texts. See object_variant for repeated keys and deep containers."""
+    return object_variant(report.cast("string"), REPORT_FIELDS)
 
 
 def telemetry_calls(reports: DataFrame) -> DataFrame:
@@ -181,34 +181,6 @@ def telemetry_strings(reports: DataFrame, budget: int | None = BUDGET) -> DataFr
     return first_per_group(rows, ["report_id"], ["process_pos", "call_pos", "argument_pos"], budget)
 
 
-def structure_errors(reports: DataFrame) -> DataFrame:
-    """(report_id, path, reason) of what is not as it should be down to the calls: no list, no object, no name."""
-    view = reports.select("report_id", report_variant(F.col("report")).alias("doc"))
-    return reports.sparkSession.sql("""
-        WITH top AS (
-            SELECT report_id, doc, schema_of_variant(doc) LIKE 'OBJECT%' AS is_object,
-                   try_variant_get(doc, '$.behavior', 'variant') AS behavior, try_variant_get(doc, '$.behavior.processes', 'variant') AS processes
-            FROM {rows}),
-        processes AS (
-            SELECT t.report_id, p.pos, p.value, try_variant_get(p.value, '$.calls', 'variant') AS calls, schema_of_variant(p.value) LIKE 'OBJECT%' AS is_object
-            FROM top t, LATERAL variant_explode(t.processes) p WHERE p.key IS NULL),
-        calls AS (
-            SELECT p.report_id, p.pos AS process_pos, c.pos, c.value, schema_of_variant(c.value) LIKE 'OBJECT%' AS is_object
-            FROM processes p, LATERAL variant_explode(p.calls) c WHERE p.is_object AND c.key IS NULL)
-        SELECT report_id, '/' AS path, 'report is no object' AS reason FROM top WHERE NOT coalesce(is_object, false)
-        UNION ALL SELECT report_id, '/behavior', CASE WHEN behavior IS NULL OR is_variant_null(behavior) THEN 'behavior is missing' ELSE 'behavior is no object' END
-            FROM top WHERE is_object AND NOT coalesce(schema_of_variant(behavior) LIKE 'OBJECT%', false)
-        UNION ALL SELECT report_id, '/behavior/processes', CASE WHEN processes IS NULL OR is_variant_null(processes) THEN 'processes is missing' ELSE 'processes is no list' END
-            FROM top WHERE schema_of_variant(behavior) LIKE 'OBJECT%' AND NOT coalesce(schema_of_variant(processes) LIKE 'ARRAY%', false)
-        UNION ALL SELECT report_id, concat('/behavior/processes/', pos), 'process is no object' FROM processes WHERE NOT is_object
-        UNION ALL SELECT report_id, concat('/behavior/processes/', pos, '/calls'), CASE WHEN calls IS NULL OR is_variant_null(calls) THEN 'calls is missing' ELSE 'calls is no list' END
-            FROM processes WHERE is_object AND NOT coalesce(schema_of_variant(calls) LIKE 'ARRAY%', false)
-        UNION ALL SELECT report_id, concat('/behavior/processes/', process_pos, '/calls/', pos), 'call is no object' FROM calls WHERE NOT is_object
-        UNION ALL SELECT report_id, concat('/behavior/processes/', process_pos, '/calls/', pos, '/api'), 'api is missing or no text'
-            FROM calls WHERE is_object AND NOT coalesce(schema_of_variant(try_variant_get(value, '$.api', 'variant')) = 'STRING', false)
-    """, rows=view)
-
-
 _wide_text = re.compile(r"(?:[ -~\r\n\t\xa1-\xac\xae-\xff]\x00){2,}")
 
 

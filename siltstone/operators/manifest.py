@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.runtime import lookup
+
 # Fixed values: (origin, role) to (group, injection, behavior).
 GROUPS = {("benign", "clean"): (1, False, "BENIGN"), ("benign", "injected"): (2, True, "BENIGN"), ("malware", "clean"): (3, False, "MALICIOUS"), ("malware", "injected"): (4, True, "MALICIOUS")}
 LEAST_JACCARD = 0.95
@@ -72,3 +74,48 @@ def unmatched_outcomes(outcomes: DataFrame, manifest: DataFrame) -> DataFrame:
     met = outcomes.select("sample_id", "group_no", "split").join(known.withColumn("_known", F.lit(True)), "sample_id", "left")
     reason = F.when(F.col("_known").isNull(), "unknown").when(~F.col("group_no").eqNullSafe(F.col("_group")), "group_no").when(~F.col("split").eqNullSafe(F.col("_split")), "split")
     return met.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("sample_id", "reason")
+
+
+def late_uses(manifest: DataFrame, family: str, order: list[str]) -> DataFrame:
+    """(pair_id, family, split, first_split): rows whose family was first used in another split, in order. The first use
+    of a family is found by an aggregate and looked up, so a family of any size is no one task's."""
+    rows = manifest.filter(F.col(family).isNotNull() & F.col("split").isNotNull()).select("pair_id", F.col(family).alias("family"), "split", *[c for c in order if c != "pair_id"])
+    first = rows.groupBy("family").agg(F.min(F.struct(*order, "split")).alias("_f")).select("family", F.col("_f.split").alias("first_split"))
+    return lookup(rows, first, "family", rows.count()).filter(F.col("split") != F.col("first_split")).select("pair_id", "family", "split", "first_split")
+
+
+def errors(manifest: DataFrame) -> DataFrame:
+    """(check, subject, role, reason): everything that is wrong with a manifest, as one table: members that contradict
+    the group table, pairs that break an invariant (of which unequal code regions are a reason to reject the pair, the
+    others violations), families in several splits, and repeated pair and sample ids."""
+    none = F.lit(None).cast("string")
+    pairs = pair_violations(manifest).withColumn("check", F.when(F.col("reason") == "code_region_sha256", "rejection").otherwise("pair"))
+    found = member_violations(manifest).select(F.lit("member").alias("check"), F.col("pair_id").alias("subject"), "role", "reason")
+    found = found.unionByName(pairs.select("check", F.col("pair_id").alias("subject"), none.alias("role"), "reason"))
+    for family in ("malware_family", "payload_family"):
+        found = found.unionByName(leaks(manifest, family).select(F.lit("leak").alias("check"), F.col("family").alias("subject"), none.alias("role"), F.lit(family).alias("reason")))
+    for table, key in ((manifest, "pair_id"), (members(manifest), "sample_id")):
+        found = found.unionByName(repeated(table, key).select(F.lit("repeat").alias("check"), F.col(key).alias("subject"), none.alias("role"), F.lit(key).alias("reason")))
+    return found
+
+
+class Unmatched(ValueError):
+    """Outcomes that don't belong to the manifest."""
+
+
+def require_matched(outcomes: DataFrame, manifest: DataFrame, shown: int = 10) -> DataFrame:
+    """outcomes, if every one is of a sample of the manifest, under its group and split; else an error that names the
+    first few."""
+    bad = unmatched_outcomes(outcomes, manifest).orderBy("sample_id", "reason").limit(shown).collect()
+    if bad:
+        raise Unmatched("; ".join(f"{r.sample_id}: {r.reason}" for r in bad))
+    return outcomes
+
+
+def rejection_errors(accepted: DataFrame, rejected: DataFrame, most: float, key: str = "pair_id") -> DataFrame:
+    """(subject, reason): ids both accepted and rejected, rejected ids that repeat, and a rate of rejection above `most`."""
+    text = lambda df: df.select(F.col(key).cast("string").alias("subject"))
+    both = text(rejected).distinct().join(text(accepted).distinct(), "subject", "left_semi").withColumn("reason", F.lit("accepted and rejected"))
+    twice = repeated(rejected, key).select(F.col(key).cast("string").alias("subject"), F.lit("rejected twice").alias("reason"))
+    over = rejection_rate(accepted, rejected, key).filter(F.col("rejected") > F.lit(most) * F.col("considered")).select(F.lit(None).cast("string").alias("subject"), F.lit("too many rejected").alias("reason"))
+    return both.unionByName(twice).unionByName(over)

@@ -72,3 +72,16 @@ def percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     points = F.expr(f"percentile(_v, array({', '.join(map(str, PERCENTILES))}), CASE WHEN _v IS NULL THEN 0 ELSE _n END)")
     found = counted.groupBy(*keys).agg(points.alias("_p"), F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).alias("missing"))
     return found.select(*keys, "n", "missing", *[F.round(F.get("_p", F.lit(i)), 6).alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTILES)])
+
+
+def latencies(outcomes: DataFrame, baseline: str = "baseline") -> DataFrame:
+    """(baseline, measure, n, missing, p50, p90, p95, p99) of the seconds in full, raw and the overhead between them,
+    which may be negative. What is null, and an overhead of which a side is null, is missing."""
+    measures = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), x.alias("seconds")) for n, x in (("full", F.col("full_seconds")), ("overhead", F.col("full_seconds") - F.col("raw_seconds")), ("raw", F.col("raw_seconds")))]))
+    return percentiles(outcomes.select(baseline, measures.alias("m")).select(baseline, "m.*"), [baseline, "measure"], "seconds")
+
+
+def reported(outcomes: DataFrame, split: str = "split", wanted: str = "test") -> tuple[DataFrame, DataFrame]:
+    """(outcomes of the wanted split, (split, not_reported) of the others)."""
+    mine = F.col(split).eqNullSafe(F.lit(wanted))
+    return outcomes.filter(mine), outcomes.filter(~mine).groupBy(split).agg(F.count("*").alias("not_reported"))

@@ -44,10 +44,18 @@ def technique_table(spark: SparkSession) -> DataFrame:
 
 
 def named_techniques(df: DataFrame, codes: str) -> DataFrame:
-    """A row for each code of a list written with commas or blanks, with its name; unknown codes get NO_MAPPING."""
-    each = df.withColumn("technique_id", F.explode(F.filter(F.split(F.col(codes), r"[,\s]+"), lambda x: x != "")))
+    """A row for each code of a list written with commas or blanks, with its place, its name, and why it has none; codes
+    without a name or a mapping get NO_MAPPING."""
+    each = df.select("*", F.posexplode(F.filter(F.split(F.col(codes), r"[,\s]+"), lambda x: x != "")).alias("code_pos", "technique_id"))
     named = each.join(F.broadcast(technique_table(df.sparkSession)), "technique_id", "left")  # eleven rows
-    return named.withColumn("technique_name", F.coalesce("technique_name", F.lit(NO_MAPPING))).withColumn("owasp", F.coalesce("owasp", F.lit(NO_MAPPING)))
+    reason = F.when(F.col("technique_name").isNull(), "the code is not in the table")
+    return named.withColumn("no_mapping_reason", reason).withColumn("technique_name", F.coalesce("technique_name", F.lit(NO_MAPPING))).withColumn("owasp", F.coalesce("owasp", F.lit(NO_MAPPING)))
+
+
+def first_mapping(named: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, owasp): of the codes of each key, the mapping of the first that has one, else NO_MAPPING."""
+    place = F.when(F.col("owasp") != NO_MAPPING, F.col("code_pos"))
+    return named.groupBy(*keys).agg(F.coalesce(F.min_by("owasp", place), F.lit(NO_MAPPING)).alias("owasp"))
 
 
 def folded_coverage(states: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,25 +64,31 @@ def folded_coverage(states: DataFrame, keys: list[str]) -> DataFrame:
     return states.groupBy(*keys).agg(worst.alias("_w")).select(*keys, F.element_at(F.array(*[F.lit(s) for s in STATES]), F.col("_w") + 1).alias("processing"))
 
 
-def detection_state(results: DataFrame, keys: list[str], required: tuple[str, ...] = ()) -> DataFrame:
+def detection_state(results: DataFrame, keys: list[str], required: tuple[str, ...] = (), ordinal: str | None = None) -> DataFrame:
     """One row per key: the first of disagreement, a required detector missing or errored (unless processing has
     FAILED), any valid positive, all required ones clean, else inconclusive.
 
     results has keys, detector, positive, errored, has_provenance and processing. A positive without provenance
-    counts as errored. Of a required detector's several results the clean one counts if all are clean.
+    counts as errored. Of a required detector's several results the last by `ordinal` counts, or, without one, they are
+    clean if all are; all results count as positives. Of several processing states the worst counts.
     """
     errored = F.col("errored") | (F.col("positive") & ~F.col("has_provenance"))
     found = F.col("positive") & ~errored
     clean = ~F.col("positive") & ~errored
-    agg = [F.max(found).alias("any_found"), F.max(clean).alias("any_clean"), F.first("processing").alias("processing")]
+    worst = F.max(F.when(F.col("processing") == "COMPLETE", 0).when(F.col("processing") == "PARTIAL", 1).otherwise(2))
+    agg = [F.max(found).alias("any_found"), F.max(clean).alias("any_clean"), worst.alias("_w")]
     for i, name in enumerate(required):
-        mine = F.col("detector") == name
-        agg += [F.max(F.when(mine, errored)).alias(f"bad{i}"), F.min(F.when(mine, clean)).alias(f"clean{i}")]
+        mine = lambda x, name=name: F.when(F.col("detector") == name, x)
+        if ordinal is None:
+            agg += [F.max(mine(errored)).alias(f"bad{i}"), F.min(mine(clean)).alias(f"clean{i}")]
+        else:
+            agg += [F.max_by(x, mine(F.col(ordinal))).alias(f"{n}{i}") for n, x in (("bad", errored), ("clean", clean))]
     rows = results.groupBy(*keys).agg(*agg)
     bad, all_clean = F.lit(False), F.lit(bool(required))
     for i in range(len(required)):
         bad = bad | F.coalesce(F.col(f"bad{i}"), F.lit(True))
         all_clean = all_clean & F.coalesce(F.col(f"clean{i}"), F.lit(False))
+    rows = rows.withColumn("processing", F.element_at(F.array(*[F.lit(s) for s in STATES]), F.col("_w") + 1))
     state = (
         F.when(F.col("any_found") & F.col("any_clean"), "INCONCLUSIVE").when((F.col("processing") != "FAILED") & bad, "INCONCLUSIVE").when(F.col("any_found"), "DETECTED").when(all_clean, "NOT_DETECTED").otherwise("INCONCLUSIVE")
     )

@@ -74,6 +74,7 @@ RULE_VERSIONS = {"Static_Promptware_InstructionBypass": "1.4.0"}
 OTHER_VERSION = "ext-1.0.0"
 RULE_TECHNIQUE, RULE_SCORE, RULE_CONFIDENCE = "AML.T0051.001", 1.0, 0.9
 NETWORK_RULE = "Dynamic_Cuckoo_Network_Telemetry"
+_IDENTIFIERS = sorted({n for p in RULES.values() for n in p})
 USER_AGENT_PATTERN, REQUEST_PATTERN = "(ignore|bypass).*prompt", "(override_role|verdict=benign)"
 
 
@@ -82,13 +83,27 @@ def jvm_pattern(pattern: str) -> str:
     return "(?id)" + pattern.replace(r"\b", "(?![A-Za-z0-9_])")
 
 
+def anchor(pattern: str) -> str:
+    """The longest run of letters and digits, in lower case, that any match of a pattern contains; '' if none is sure."""
+    bare = re.sub(r"\\.[+*?]?|\[[^\]]*\][+*?]?", "\0", pattern)
+    while (outer := re.sub(r"\([^()]*\)(?:[?*+]|\{[0-9,]+\})?", "\0", bare)) != bare:
+        bare = outer
+    if "|" in bare:
+        return ""
+    bare = re.sub(r".(?:[?*]|\{0[0-9,]*\})", "\0", bare, flags=re.DOTALL)
+    return max(re.findall(r"[a-z0-9]+", re.sub(r"\{[0-9,]+\}", "\0", bare).lower()), key=len, default="")
+
+
 def matches(text: Column) -> Column:
-    """Array of struct(rule_ord, rule, identifier) of the patterns that a text meets."""
-    hits = [
-        F.when(text.rlike(jvm_pattern(p)), F.struct(F.lit(i).alias("rule_ord"), F.lit(rule).alias("rule"), F.lit(name).alias("identifier")))
-        for i, (rule, patterns) in enumerate(RULES.items())
-        for name, p in patterns.items()
-    ]
+    """Array of struct(rule_ord, rule, identifier) of the patterns that a text meets. A pattern is tried only on texts
+    that contain its anchor."""
+    low = F.lower(text)
+    hits = []
+    for i, (rule, patterns) in enumerate(RULES.items()):
+        for name, p in patterns.items():
+            meets = text.rlike(jvm_pattern(p))
+            meets = F.contains(low, F.lit(anchor(p))) & meets if anchor(p) else meets
+            hits.append(F.when(meets, F.struct(F.lit(i).alias("rule_ord"), F.lit(rule).alias("rule"), F.lit(name).alias("identifier"))))
     return F.array_compact(F.array(*hits))
 
 
@@ -97,18 +112,46 @@ def scan(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_m", F.explode(matches(F.col(text)))).select(*df.columns, "_m.*")
 
 
+def rule_table(spark) -> DataFrame:
+    """(rule_ord, rule, version, technique_id, score, confidence, patterns): the metadata of every rule."""
+    rows = [(i, r, RULE_VERSIONS.get(r, OTHER_VERSION), RULE_TECHNIQUE, RULE_SCORE, RULE_CONFIDENCE, len(p)) for i, (r, p) in enumerate(RULES.items())]
+    return spark.createDataFrame(rows, "rule_ord int, rule string, version string, technique_id string, score double, confidence double, patterns int")
+
+
 def findings(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """One finding per keys and rule: its identifiers, version and technique."""
-    version = F.create_map(*[F.lit(x) for kv in RULE_VERSIONS.items() for x in kv])
+    """One finding per keys and rule: its identifiers, and the rule's version, technique, score and confidence."""
     by_rule = hits.groupBy(*keys, "rule_ord", "rule").agg(F.array_sort(F.collect_set("identifier")).alias("identifiers"))
-    return by_rule.withColumn("version", F.coalesce(F.try_element_at(version, F.col("rule")), F.lit(OTHER_VERSION))).withColumn("technique_id", F.lit(RULE_TECHNIQUE))
+    return by_rule.join(F.broadcast(rule_table(hits.sparkSession).drop("patterns")), ["rule_ord", "rule"])  # five rows
+
 
+def deduplicated(hits: DataFrame, group: list[str], order: list[str], keep: list[str], chain: str | None = None) -> DataFrame:
+    """One row per group and rule: the columns of its first hit, how many rows hit, all identifiers, and, where hits have
+    a transform chain, its distinct steps in the order they first appear in (order tells rows apart).
 
-def deduplicated(hits: DataFrame, group: list[str], order: list[str], keep: list[str]) -> DataFrame:
-    """One row per group and rule: the columns of its first hit, how many rows hit, and all identifiers."""
-    first = F.min(F.struct(*order, *[F.col(k).alias(f"_k_{k}") for k in keep])).alias("_first")
-    merged = hits.groupBy(*group, "rule").agg(first, F.countDistinct(*order).alias("hits"), F.array_sort(F.collect_set("identifier")).alias("identifiers"))
-    return merged.select(*group, "rule", *[F.col(f"_first._k_{k}").alias(k) for k in keep], "hits", F.array_join("identifiers", ",").alias("identifiers"))
+    Hits are put together by row first, so that what is counted is distinct and no group is collected.
+    """
+    steps = [] if chain is None else [F.min(chain).alias("_chain")]
+    by_row = hits.groupBy(*group, "rule", *order).agg(F.min(F.struct(*keep)).alias("_k"), F.collect_set("identifier").alias("_i"), *steps)  # a rule's identifiers at most
+    seen = [F.max(F.array_contains("_i", n)).alias(f"_i{k}") for k, n in enumerate(_IDENTIFIERS)]
+    merged = by_row.groupBy(*group, "rule").agg(F.min(F.struct(*order, "_k")).alias("_first"), F.count("*").alias("hits"), *seen)
+    names = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"_i{k}"), F.lit(n)) for k, n in enumerate(_IDENTIFIERS)])), ",")
+    found = merged.select(*group, "rule", *[F.col(f"_first._k.{k}").alias(k) for k in keep], "hits", names.alias("identifiers"))
+    if chain is None:
+        return found
+    each = by_row.select(*group, "rule", F.struct(*order).alias("_at"), F.posexplode("_chain").alias("_p", "step"))
+    first = each.groupBy(*group, "rule", "step").agg(F.min(F.struct("_at", "_p")).alias("_at"))  # a few kinds of step
+    merged = first.groupBy(*group, "rule").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "step"))), lambda x: x["step"]).alias(chain))
+    same = lambda a, b: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*group, "rule")]
+    both = found.alias("a").join(merged.alias("b"), same("a", "b"), "left")
+    return both.select("a.*", F.coalesce(F.col(f"b.{chain}"), F.array().cast("array<string>")).alias(chain))
+
+
+def coverage(rows: DataFrame, scanned: str, keys: list[str]) -> DataFrame:
+    """(keys, state, payloads, unread): whether all payloads of a key could be scanned: COMPLETE, else PARTIAL, or FAILED
+    if none of those it has could be. A null payload is one that could not be read."""
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("payloads"), F.count_if(F.col(scanned).isNull()).alias("unread"))
+    state = F.when(F.col("unread") == 0, "COMPLETE").when(F.col("unread") < F.col("payloads"), "PARTIAL").otherwise("FAILED")
+    return counted.select(*keys, state.alias("state"), "payloads", "unread")
 
 
 def network_hits(records: DataFrame) -> DataFrame:
@@ -120,20 +163,24 @@ def network_hits(records: DataFrame) -> DataFrame:
 def offsets(df: DataFrame, key: str, data: str) -> DataFrame:
     """(key, rule, identifier, start_byte, matched): every match of every pattern in a column of bytes, by offset.
 
-    Patterns are met byte by byte, letters without case in ASCII only. Null and empty bytes have no matches.
+    Patterns are met byte by byte, letters without case in ASCII only. Null and empty bytes have no matches. Only bytes
+    that meet some pattern, read as Latin-1, leave the JVM, and there only patterns whose anchor they contain are tried.
     """
     kind = df.schema[key].dataType.simpleString()
-    compiled = [(rule, name, re.compile(p.encode(), re.IGNORECASE)) for rule, patterns in RULES.items() for name, p in patterns.items()]
+    compiled = [(rule, name, anchor(p).encode(), re.compile(p.encode(), re.IGNORECASE)) for rule, patterns in RULES.items() for name, p in patterns.items()]
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, found = [], []
             for i, raw in enumerate(batch.column("data").to_pylist()):
-                for rule, name, pattern in compiled:
-                    for m in pattern.finditer(raw or b""):
-                        owner.append(i)
-                        found.append((rule, name, m.start(), m[0]))
+                low = raw.lower()
+                for rule, name, sure, pattern in compiled:
+                    if sure in low:
+                        met = [(rule, name, m.start(), m[0]) for m in pattern.finditer(raw)]
+                        owner += [i] * len(met)
+                        found += met
             columns = list(zip(*found)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owner, pa.int32())), *[pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.binary()))]], names=[key, "rule", "identifier", "start_byte", "matched"])
 
-    return df.select(F.col(key).alias("key"), F.col(data).alias("data")).mapInArrow(stage, f"`{key}` {kind}, rule string, identifier string, start_byte long, matched binary")
+    some = F.size(matches(F.decode(F.col(data), "ISO-8859-1"))) > 0
+    return df.filter(some).select(F.col(key).alias("key"), F.col(data).alias("data")).mapInArrow(stage, f"`{key}` {kind}, rule string, identifier string, start_byte long, matched binary")

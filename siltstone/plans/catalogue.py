@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators import budgets, capability, classifier, context, extraction, facts, manifest, metrics, policy, rules, schema_drift, shredding
+from siltstone.operators import budgets, capability, classifier, context, evidence, extraction, facts, manifest, metrics, policy, rules, schema_drift, shredding
 from siltstone.runtime import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +35,7 @@ _LISTED = """
     objects AS (SELECT * FROM calls WHERE json_type(call) = 'OBJECT'),
     lists AS (SELECT report_id, process_pos, call_pos, json_extract(call, '$.arguments[*]') AS items FROM objects WHERE json_type(call, '$.arguments') = 'ARRAY'),
     listed AS (SELECT report_id, process_pos, call_pos, generate_subscripts(items, 1) - 1 AS argument_pos, unnest(items) AS argument FROM lists),
-    maps AS (SELECT report_id, process_pos, call_pos, json_keys(call, '$.arguments') AS names FROM objects WHERE json_type(call, '$.arguments') = 'OBJECT')
+    maps AS (SELECT report_id, process_pos, call_pos, json_keys(call, '$.arguments') AS names, call FROM objects WHERE json_type(call, '$.arguments') = 'OBJECT')
 """
 
 
@@ -58,17 +58,27 @@ def p1_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shredding.calls_table(read(spark, sf_dir, "cape_report"))
 
 
-@query()
+@query(f"""WITH {_LISTED}
+    SELECT report_id, process_pos::INT AS process_pos, call_pos::INT AS call_pos, argument_pos::INT AS argument_pos, coalesce(json_extract_string(argument, '$.name'), '') AS argument_name, json_extract_string(argument, '$.value') AS argument_value,
+        json_extract_string(argument, '$.pretty_value') AS pretty_value FROM listed WHERE json_type(argument) = 'OBJECT'
+    UNION ALL SELECT report_id, process_pos::INT, call_pos::INT, (generate_subscripts(names, 1) - 1)::INT, unnest(names), json_extract_string(unnest(json_extract(call, '$.arguments.*')), '$'), NULL FROM maps""")
 def p1_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shredding.arguments_table(read(spark, sf_dir, "cape_report"))
 
 
+@query(f"""WITH {_LISTED}, p AS (SELECT report_id, count(*) AS n FROM processes WHERE json_type(process) = 'OBJECT' GROUP BY 1), c AS (SELECT report_id, count(*) AS n FROM objects GROUP BY 1),
+    a AS (SELECT report_id, sum(n) AS n FROM (SELECT report_id, count(*) AS n FROM listed WHERE json_type(argument) = 'OBJECT' GROUP BY 1 UNION ALL SELECT report_id, sum(len(names)) FROM maps GROUP BY 1) GROUP BY 1)
+    SELECT p.report_id, p.n AS processes, coalesce(c.n, 0) AS calls, coalesce(a.n, 0)::BIGINT AS arguments, 0 AS orphans FROM p LEFT JOIN c USING (report_id) LEFT JOIN a USING (report_id)""")
+def p1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shredding.summary(*shredding.behaviour_tables(read(spark, sf_dir, "cape_report")))
+
+
 # Schema drift: every node of the valid documents with its path; the keys of `rules` come as '*'.
 _DRIFT = r"""
     docs AS (SELECT feed, file_no, report::JSON AS doc FROM capa_report WHERE json_valid(report) AND json_type(report::JSON) = 'OBJECT' AND feed IS NOT NULL AND file_no IS NOT NULL),
     nodes AS (SELECT feed, file_no, t.type, regexp_replace(regexp_replace(regexp_replace(substr(t.fullkey, 3), '^rules\.("([^"\\]|\\.)*"|[^.\[]+)', 'rules.*'), '\[[0-9]+\]', '[]', 'g'), '"', '', 'g') AS path FROM docs, json_tree(docs.doc) t WHERE t.fullkey <> '$'),
     typed AS (SELECT DISTINCT feed, file_no, path, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'fraction' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'integer' END AS type FROM nodes),
-    schemas AS (SELECT feed, file_no, path, coalesce(string_agg(type, '|' ORDER BY type), '') AS types FROM typed GROUP BY feed, file_no, path),
+    schemas AS (SELECT feed, file_no, path, coalesce(string_agg(type, '|' ORDER BY type), '') AS types, coalesce(sum(CASE type WHEN 'string' THEN 1 WHEN 'integer' THEN 2 WHEN 'fraction' THEN 4 WHEN 'boolean' THEN 8 WHEN 'object' THEN 16 WHEN 'array' THEN 32 END), 0)::INT AS bits FROM typed GROUP BY feed, file_no, path),
     files AS (SELECT feed, file_no, lag(file_no) OVER (PARTITION BY feed ORDER BY file_no) AS previous_no FROM (SELECT DISTINCT feed, file_no FROM capa_report WHERE feed IS NOT NULL AND file_no IS NOT NULL)),
     new AS (SELECT f.feed, f.file_no, s.path, s.types FROM files f JOIN schemas s ON s.feed = f.feed AND s.file_no = f.file_no WHERE f.previous_no IS NOT NULL),
     old AS (SELECT f.feed, f.file_no, s.path, s.types FROM files f JOIN schemas s ON s.feed = f.feed AND s.file_no = f.previous_no),
@@ -76,7 +86,7 @@ _DRIFT = r"""
     top AS (SELECT *, CASE WHEN old_types IS NULL THEN 'added' WHEN new_types IS NULL THEN 'removed' ELSE 'type_changed' END AS kind, regexp_replace(path, '(^|\.)[^.\[\]]+$|\[\]$', '') AS parent FROM changed c
         WHERE NOT EXISTS (SELECT 1 FROM changed a WHERE a.feed = c.feed AND a.file_no = c.file_no AND a.path <> c.path AND (starts_with(c.path, a.path || '.') OR starts_with(c.path, a.path || '[]')))),
     ranked AS (SELECT *, coalesce(old_types, new_types) AS shape, row_number() OVER (PARTITION BY feed, file_no, parent, coalesce(old_types, new_types), kind ORDER BY path) AS k FROM top WHERE kind <> 'type_changed'),
-    paired AS (SELECT feed, file_no, max(path) FILTER (kind = 'removed') AS old_path, max(path) FILTER (kind = 'added') AS new_path FROM ranked GROUP BY feed, file_no, parent, shape, k)
+    paired AS (SELECT feed, file_no, any_value(shape) AS shape, max(path) FILTER (kind = 'removed') AS old_path, max(path) FILTER (kind = 'added') AS new_path FROM ranked GROUP BY feed, file_no, parent, shape, k)
 """
 
 
@@ -87,19 +97,52 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("feed", "file_no", "change_kind", "field_path")
 
 
-@query()
+@query(f"""WITH {_DRIFT}, steps AS (SELECT feed, file_no, 'type_changed' AS change_kind, path AS field_path, path AS old_path, old_types, new_types FROM top WHERE kind = 'type_changed'
+    UNION ALL SELECT feed, file_no, CASE WHEN old_path IS NULL THEN 'added' WHEN new_path IS NULL THEN 'removed' ELSE 'renamed' END, coalesce(new_path, old_path), old_path, CASE WHEN old_path IS NOT NULL THEN shape END, CASE WHEN new_path IS NOT NULL THEN shape END FROM paired)
+    SELECT s.feed, s.file_no, f.previous_no, change_kind, field_path, old_path, old_types, new_types FROM steps s JOIN files f USING (feed, file_no)""")
 def p3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, steps = schema_drift.drift(read(spark, sf_dir, "capa_report"))
-    return steps.select("feed", "file_no", "previous_no", "change_kind", "field_path", "old_path", schema_drift.type_names("old_types").alias("old_types"), schema_drift.type_names("new_types").alias("new_types"))
+    named = [F.when(F.col(c).isNotNull(), schema_drift.type_names(c)).alias(c) for c in ("old_types", "new_types")]
+    return steps.select("feed", "file_no", "previous_no", "change_kind", "field_path", "old_path", *named)
+
+
+@query(f"""WITH {_DRIFT}, prints AS (SELECT f.feed, f.file_no, sha256(coalesce(string_agg(path || '=' || bits, ',' ORDER BY path || '=' || bits), '')) AS fingerprint, count(path) AS paths FROM files f LEFT JOIN schemas s ON s.feed = f.feed AND s.file_no = f.file_no GROUP BY 1, 2),
+    opened AS (SELECT *, lag(fingerprint) OVER (PARTITION BY feed ORDER BY file_no) IS DISTINCT FROM fingerprint AS opens FROM prints),
+    numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY feed ORDER BY file_no)::INT AS version FROM opened)
+    SELECT feed, version, fingerprint, min(file_no) AS first_file, max(file_no) AS last_file, count(*) AS files, max(paths)::INT AS paths FROM numbered GROUP BY feed, version, fingerprint""")
+def p3_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas, _ = schema_drift.drift(read(spark, sf_dir, "capa_report"))
+    return schema_drift.schema_versions(schemas)
+
+
+def _routes(records: DataFrame) -> tuple[dict[str, list[str]], DataFrame]:
+    schemas, steps = schema_drift.drift(records)
+    return schema_drift.file_routes(stored(steps, "migration-steps"), schemas)
 
 
 @query()
+def p3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, routes = _routes(read(spark, sf_dir, "capa_report"))
+    return routes.select("feed", "file_no", F.posexplode("rules").alias("rule_ord", "r")).select("feed", "file_no", "rule_ord", "r.*")
+
+
+@query("""WITH docs AS (SELECT record_id, feed, file_no, report::JSON AS d FROM capa_report WHERE json_valid(report) AND json_type(report::JSON) = 'OBJECT'),
+    m AS (SELECT *, coalesce(json_extract(d, '$.meta.version'), json_extract(d, '$.meta.capa_version')) AS v, json_extract(d, '$.meta.timestamp') AS t,
+        list_transform(CASE WHEN json_type(d, '$.rules') = 'OBJECT' THEN map_values(json_extract(d, '$.rules')::MAP(VARCHAR, JSON)) ELSE [] END, lambda r: json_extract(r, '$.meta')) AS metas FROM docs),
+    e AS (SELECT *, flatten(list_transform(metas, lambda x: CASE WHEN json_type(coalesce(json_extract(x, '$.attack'), json_extract(x, '$."att&ck"'))) = 'ARRAY' THEN json_extract(coalesce(json_extract(x, '$.attack'), json_extract(x, '$."att&ck"')), '$[*]') ELSE [] END)) AS entries FROM m)
+    SELECT record_id, feed, file_no, CASE WHEN json_type(v) = 'OBJECT' THEN coalesce(json_extract_string(v, '$.label'), json_extract_string(v, '$.major') || '.' || json_extract_string(v, '$.minor'), v::VARCHAR) ELSE json_extract_string(v, '$') END AS meta_version,
+        strftime(CASE WHEN json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$')::TIMESTAMP ELSE make_timestamp(json_extract_string(t, '$')::BIGINT * 1000000) END, '%Y-%m-%d %H:%M:%S') AS analysed_at,
+        json_extract_string(d, '$.meta.sample.sha256') AS sample_sha256, coalesce(json_extract_string(d, '$.meta.sample.path'), json_extract_string(d, '$.meta.sample.file_path')) AS sample_path, coalesce(json_extract_string(d, '$.meta.flavor'), 'unknown') AS flavor,
+        array_to_string(list_filter(list_transform(entries, lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN nullif(regexp_extract(json_extract_string(x, '$'), ' \\[([^\\]]*)\\]$', 1), '') ELSE coalesce(json_extract_string(x, '$.id'), json_extract_string(x, '$.technique_id')) END), lambda x: x IS NOT NULL), '|') AS technique_ids,
+        array_to_string(list_filter(list_transform(metas, lambda x: coalesce(json_extract_string(x, '$.namespace'), json_extract_string(x, '$.ns'))), lambda x: x IS NOT NULL), '|') AS namespaces,
+        array_to_string(list_filter(list_transform(metas, lambda x: json_extract_string(x, '$.name')), lambda x: x IS NOT NULL), '|') AS rule_names,
+        array_to_string(list_transform(list_filter(list_transform(metas, lambda x: json_extract_string(x, '$.is_subscope_rule')), lambda x: x IS NOT NULL), lambda x: CASE WHEN x IN ('1', 'true') THEN 'true' ELSE 'false' END), '|') AS subscope,
+        array_to_string(list_transform(list_filter(list_transform(metas, lambda x: json_extract_string(x, '$.score')), lambda x: x IS NOT NULL), lambda x: x::DOUBLE::VARCHAR), '|') AS scores, '' AS uncast FROM e""")
 def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read(spark, sf_dir, "capa_report")
-    schemas, steps = schema_drift.drift(records)
-    names, routes = schema_drift.file_routes(stored(steps, "migration-steps"), schemas)
-    table = schema_drift.consistent_table(records, names, routes=routes)
-    lists = {c: F.array_join(c, "|").alias(c) for c, t in table.dtypes if t.startswith("array")}
+    names, routes = _routes(records)
+    table = schema_drift.consistent_table(records, names, routes=routes).withColumn("analysed_at", F.date_format("analysed_at", "yyyy-MM-dd HH:mm:ss"))
+    lists = {c: F.array_join(F.col(c).cast("array<string>"), "|").alias(c) for c, t in table.dtypes if t.startswith("array")}
     return table.select(*[lists.get(c, F.col(c)) for c in table.columns])
 
 
@@ -132,13 +175,14 @@ def q_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strings.select("string_id", F.round(text.entropy(F.col("raw_string")), 6).alias("entropy"))
 
 
-@query()
+@query("SELECT string_id, round(coalesce(list_entropy(regexp_extract_all(raw_string, '(?s).')), 0), 6) AS entropy FROM raw_string WHERE raw_string IS NOT NULL")
 def q_entropy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     strings = read(spark, sf_dir, "raw_string").filter(F.col("raw_string").isNotNull())
     return extraction.measured(strings, "raw_string").select("string_id", F.round("entropy", 6).alias("entropy"))
 
 
-@query()
+@query("""WITH s AS (SELECT string_id, raw_string, unnest(range(0, length(raw_string), 256)) AS start_at FROM raw_string WHERE length(raw_string) > 0), c AS (SELECT string_id, (start_at / 256)::INT AS chunk_no, substr(raw_string, start_at + 1, 256) AS chunk FROM s),
+    e AS (SELECT string_id, chunk_no, list_entropy(regexp_extract_all(chunk, '(?s).')) AS entropy FROM c WHERE length(chunk) >= 6) SELECT string_id, chunk_no, round(entropy, 6) AS entropy FROM e WHERE entropy BETWEEN 2.5 AND 5.5""")
 def q_entropy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = extraction.text_chunks(read(spark, sf_dir, "raw_string").select("string_id", "raw_string"), "raw_string")
     return extraction.candidates(chunks, "chunk").select("string_id", "chunk_no", F.round("entropy", 6).alias("entropy"))
@@ -153,8 +197,7 @@ def q_chunk_256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[ -~]{6,}'))::INT AS runs, coalesce(list_sum(list_transform(regexp_extract_all(text, '[ -~]{6,}'), lambda x: length(x))), 0)::BIGINT AS chars FROM documents WHERE text IS NOT NULL")
 def q_ascii_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = F.regexp_extract_all("text", F.lit("[ -~]{6,}"), F.lit(0))
-    rows = read(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", runs.alias("r"))
+    rows = read(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", extraction.printable_runs(F.col("text")).alias("r"))
     return rows.select("doc_id", F.size("r").alias("runs"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
@@ -184,9 +227,8 @@ def _string_budget(strings: DataFrame, most: int) -> DataFrame:
 
 
 def _text_budget(strings: DataFrame, most: int) -> DataFrame:
-    filled = strings.filter(F.col("raw_string") != "").select("artifact_sha256", "raw_string", F.coalesce("ord", F.lit(-1)).alias("o"), F.col("string_id").alias("i"))
-    texts = filled.groupBy("artifact_sha256", F.sha2("raw_string", 256).alias("text")).agg(F.min(F.struct("o", "i")).alias("at")).select("artifact_sha256", "at.*")
-    return budgets.first_per_group(texts, ["artifact_sha256"], ["o", "i"], most).select("artifact_sha256", F.col("i").alias("first_string"), "place", "truncated")
+    found = budgets.first_texts(strings.withColumn("o", F.coalesce("ord", F.lit(-1))), "artifact_sha256", "raw_string", ["o", "string_id"], most)
+    return found.select("artifact_sha256", F.col("string_id").alias("first_string"), "place", "truncated")
 
 
 @query(_string_budget_sql(_BUDGET))
@@ -220,27 +262,63 @@ _IN_LISTS = """
 """
 
 
-@query(f"""WITH {_IN_LISTS}, t AS (SELECT *, json_extract_string(call, '$.api') AS api, json_extract_string(argument, '$.name') AS argument_name, CASE WHEN json_type(argument, '$.value') = 'VARCHAR' THEN json_extract_string(argument, '$.value') END AS raw_string FROM arguments)
-    SELECT report_id, artifact_sha256, '/behavior/processes/' || process_pos || '/calls/' || call_pos || '/arguments/' || argument_pos AS locator,
+_TELEMETRY = f"""WITH {_IN_LISTS}, t AS (SELECT *, json_extract_string(call, '$.api') AS api, json_extract_string(argument, '$.name') AS argument_name, CASE WHEN json_type(argument, '$.value') = 'VARCHAR' THEN json_extract_string(argument, '$.value') END AS raw_string FROM arguments),
+    f AS (SELECT report_id, artifact_sha256, process_pos, call_pos, argument_pos, '/behavior/processes/' || process_pos || '/calls/' || call_pos || '/arguments/' || argument_pos AS locator,
         CASE WHEN json_type(process, '$.process_id') IN ('UBIGINT', 'BIGINT', 'VARCHAR') THEN json_extract_string(process, '$.process_id') ELSE 'unknown' END AS section_or_pid, api, argument_name, raw_string
     FROM t WHERE length(raw_string) >= 6 AND raw_string NOT LIKE '0x%' AND ((api IN ('OutputDebugStringA', 'OutputDebugStringW') AND argument_name = 'lpOutputString')
-        OR (api IN ('SetWindowTextA', 'SetWindowTextW') AND argument_name = 'lpString') OR (api IN ('MessageBoxA', 'MessageBoxW') AND argument_name IN ('lpText', 'lpCaption')))""")
+        OR (api IN ('SetWindowTextA', 'SetWindowTextW') AND argument_name = 'lpString') OR (api IN ('MessageBoxA', 'MessageBoxW') AND argument_name IN ('lpText', 'lpCaption'))))"""
+
+
+@query(f"{_TELEMETRY} SELECT report_id, artifact_sha256, locator, section_or_pid, api, argument_name, raw_string FROM f")
 def q_telemetry_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extraction.telemetry_strings(read(spark, sf_dir, "cape_report"), budget=None)
     return found.drop("process_pos", "call_pos", "argument_pos")
 
 
-@query()
+@query(f"""{_TELEMETRY}, r AS (SELECT report_id, locator, row_number() OVER (PARTITION BY report_id ORDER BY process_pos, call_pos, argument_pos)::INT AS place, count(*) OVER (PARTITION BY report_id) > 2000 AS truncated FROM f)
+    SELECT * FROM r WHERE place <= 2000""")
 def q_telemetry_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.telemetry_strings(read(spark, sf_dir, "cape_report")).select("report_id", "locator", "place", "truncated")
 
 
-@query()
+_APIS = ", ".join(f"'{a}'" for a in extraction.TEXT_ARGUMENTS)
+_ALLOWED = " OR ".join(f"(api = '{a}' AND name IN ({', '.join(repr(n) for n in names)}))" for a, names in extraction.TEXT_ARGUMENTS.items())
+_GONE = "coalesce({0}, 'NULL') = 'NULL'"
+# The checks, each with its path; no report of the tables reaches the budget, after which nothing is looked at.
+_STRUCTURE = f"""
+    docs AS (SELECT report_id, CASE WHEN json_valid(report) THEN report::JSON END AS d FROM cape_report),
+    b AS (SELECT *, json_type(d) AS top, json_type(d, '$.behavior') AS bt, json_type(d, '$.behavior.processes') AS pt FROM docs),
+    pl AS (SELECT report_id, json_extract(d, '$.behavior.processes[*]') AS items FROM b WHERE top = 'OBJECT' AND bt = 'OBJECT' AND pt = 'ARRAY'),
+    p AS (SELECT report_id, '/behavior/processes/' || (generate_subscripts(items, 1) - 1) AS spot, unnest(items) AS p FROM pl),
+    cl AS (SELECT report_id, spot, json_extract(p, '$.calls[*]') AS items FROM p WHERE json_type(p) = 'OBJECT' AND json_type(p, '$.calls') = 'ARRAY'),
+    c AS (SELECT report_id, spot || '/calls/' || (generate_subscripts(items, 1) - 1) AS spot, unnest(items) AS c FROM cl),
+    k AS (SELECT *, json_extract_string(c, '$.api') AS api, json_type(c, '$.arguments') AS t FROM c WHERE json_type(c) = 'OBJECT' AND json_type(c, '$.api') = 'VARCHAR' AND json_extract_string(c, '$.api') IN ({_APIS})),
+    al AS (SELECT report_id, spot, api, json_extract(c, '$.arguments[*]') AS items FROM k WHERE t = 'ARRAY'),
+    a AS (SELECT report_id, api, spot || '/arguments/' || (generate_subscripts(items, 1) - 1) AS spot, unnest(items) AS a FROM al),
+    n AS (SELECT *, json_extract_string(a, '$.name') AS name FROM a WHERE json_type(a) = 'OBJECT' AND json_type(a, '$.name') = 'VARCHAR'),
+    errors AS (
+        SELECT report_id, '/' AS path, 'report is no object' AS reason FROM b WHERE coalesce(top, '') <> 'OBJECT'
+        UNION ALL SELECT report_id, '/behavior', CASE WHEN {_GONE.format('bt')} THEN 'behavior is missing' ELSE 'behavior is no object' END FROM b WHERE top = 'OBJECT' AND coalesce(bt, '') <> 'OBJECT'
+        UNION ALL SELECT report_id, '/behavior/processes', CASE WHEN {_GONE.format('pt')} THEN 'processes is missing' ELSE 'processes is no list' END FROM b WHERE top = 'OBJECT' AND bt = 'OBJECT' AND coalesce(pt, '') <> 'ARRAY'
+        UNION ALL SELECT report_id, spot, 'process is no object' FROM p WHERE json_type(p) <> 'OBJECT'
+        UNION ALL SELECT report_id, spot || '/process_id', 'process_id is no integer or text' FROM p WHERE json_type(p) = 'OBJECT' AND coalesce(json_type(p, '$.process_id'), 'NULL') NOT IN ('NULL', 'UBIGINT', 'BIGINT', 'VARCHAR')
+        UNION ALL SELECT report_id, spot || '/calls', CASE WHEN {_GONE.format("json_type(p, '$.calls')")} THEN 'calls is missing' ELSE 'calls is no list' END FROM p WHERE json_type(p) = 'OBJECT' AND coalesce(json_type(p, '$.calls'), '') <> 'ARRAY'
+        UNION ALL SELECT report_id, spot, 'call is no object' FROM c WHERE json_type(c) <> 'OBJECT'
+        UNION ALL SELECT report_id, spot || '/api', 'api is missing or no text' FROM c WHERE json_type(c) = 'OBJECT' AND coalesce(json_type(c, '$.api'), '') <> 'VARCHAR'
+        UNION ALL SELECT report_id, spot || '/timestamp', 'timestamp is no text' FROM k WHERE coalesce(json_type(c, '$.timestamp'), 'NULL') NOT IN ('NULL', 'VARCHAR')
+        UNION ALL SELECT report_id, spot || '/arguments', CASE WHEN {_GONE.format('t')} THEN 'arguments is missing' ELSE 'arguments is no list' END FROM k WHERE coalesce(t, '') <> 'ARRAY'
+        UNION ALL SELECT report_id, spot, 'argument is no object' FROM a WHERE json_type(a) <> 'OBJECT'
+        UNION ALL SELECT report_id, spot || '/name', 'name is missing or no text' FROM a WHERE json_type(a) = 'OBJECT' AND coalesce(json_type(a, '$.name'), '') <> 'VARCHAR'
+        UNION ALL SELECT report_id, spot || '/value', 'value is missing or no text' FROM n WHERE ({_ALLOWED}) AND coalesce(json_type(a, '$.value'), '') <> 'VARCHAR')
+"""
+
+
+@query(f"WITH {_STRUCTURE} SELECT * FROM errors")
 def q_structure_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.telemetry_errors(read(spark, sf_dir, "cape_report")).drop("ord")
 
 
-@query()
+@query(f"WITH {_STRUCTURE}, e AS (SELECT report_id, count(*)::INT AS errors FROM errors GROUP BY 1) SELECT report_id, CASE WHEN errors IS NULL THEN 'COMPLETE' ELSE 'PARTIAL' END AS coverage, coalesce(errors, 0) AS errors, false AS truncated FROM docs LEFT JOIN e USING (report_id)")
 def q_telemetry_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.telemetry_coverage(read(spark, sf_dir, "cape_report"))
 
@@ -266,7 +344,7 @@ def _rule_sql(columns: str, rows: str) -> str:
     return " UNION ALL ".join(one.format(columns, i, r, n, rows, p.replace("'", "''")) for i, (r, ps) in enumerate(rules.RULES.items()) for n, p in ps.items())
 
 
-_STRINGS = f"SELECT string_id, artifact_sha256, branch, coalesce(ord, -1) AS ord, {_seeded('raw_string', 'string_id')} AS t FROM raw_string"
+_STRINGS = f"SELECT string_id, artifact_sha256, branch, provenance, coalesce(ord, -1) AS ord, {_seeded('raw_string', 'string_id')} AS t FROM raw_string"
 _TEXTS = f"SELECT doc_id, {_seeded('text', 'doc_id')} AS t FROM documents"
 
 
@@ -282,7 +360,7 @@ def q_rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, rule, string_agg(identifier, ',' ORDER BY identifier) AS identifiers, CASE WHEN rule = 'Static_Promptware_InstructionBypass' THEN '1.4.0' ELSE 'ext-1.0.0' END AS version, 'AML.T0051.001' AS technique_id FROM ({_rule_sql('doc_id', _TEXTS)}) GROUP BY doc_id, rule")
 def q_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spark.sql(_TEXTS.replace("FROM documents", "FROM {rows}"), rows=read(spark, sf_dir, "documents"))
-    found = rules.findings(rules.scan(texts, "t"), ["doc_id"])
+    found = rules.findings(rules.scan(texts, "t").select("doc_id", "rule_ord", "rule", "identifier"), ["doc_id"])
     return found.select("doc_id", "rule", F.array_join("identifiers", ",").alias("identifiers"), "version", "technique_id")
 
 
@@ -293,10 +371,24 @@ def q_rule_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.scan(done, "normalized").select("string_id", "rule", "identifier", "depth", F.array_join("chain", ">").alias("chain"))
 
 
+@query()
+def q_rule_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = text.letter_pairs(read(spark, sf_dir, "confusable"))
+    done = _seeded_strings(spark, sf_dir).select("artifact_sha256", "branch", "ord", "string_id", text.normalized(F.col("t"), pairs).alias("n")).select("artifact_sha256", "branch", "ord", "string_id", "n.*")
+    hits = rules.scan(done, "normalized")
+    merged = rules.deduplicated(hits, ["artifact_sha256", "branch"], ["ord", "string_id"], ["string_id"], chain="chain")
+    return merged.select("artifact_sha256", "branch", "rule", F.col("string_id").alias("first_string"), "hits", "identifiers", F.array_join("chain", ">").alias("chain"))
+
+
+@query("SELECT artifact_sha256, CASE WHEN count(raw_string) = count(*) THEN 'COMPLETE' WHEN count(raw_string) > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS state, count(*) AS payloads, count(*) - count(raw_string) AS unread FROM raw_string GROUP BY 1")
+def q_rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.coverage(read(spark, sf_dir, "raw_string"), "raw_string", ["artifact_sha256"])
+
+
 @query(f"""SELECT artifact_sha256, branch, rule, arg_min(string_id, struct_pack(ord := ord, string_id := string_id)) AS first_string, count(DISTINCT string_id) AS hits, string_agg(DISTINCT identifier, ',' ORDER BY identifier) AS identifiers
     FROM ({_rule_sql('artifact_sha256, branch, ord, string_id', _STRINGS)}) GROUP BY artifact_sha256, branch, rule""")
 def q_rule_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = rules.scan(_seeded_strings(spark, sf_dir), "t")
+    hits = rules.scan(_seeded_strings(spark, sf_dir), "t").select("artifact_sha256", "branch", "ord", "string_id", "rule", "identifier")
     return rules.deduplicated(hits, ["artifact_sha256", "branch"], ["ord", "string_id"], ["string_id"]).withColumnRenamed("string_id", "first_string")
 
 
@@ -323,32 +415,48 @@ def q_rule_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Capabilities.
-_RULES = """
+_FLAGGED_RULE = " OR ".join(f"""coalesce(json_type(meta, '$."{m}"') = 'BOOLEAN' AND json_extract_string(meta, '$."{m}"') = 'true', false)""" for m in capability.SUBSCOPE_MARKERS)
+_TEXT_OR_NULL = "coalesce(json_type({0}, '$.{1}'), 'NULL') IN ('NULL', 'VARCHAR')"
+_RULES = f"""
     docs AS (SELECT record_id, json_extract(report::JSON, '$.rules') AS rules FROM capa_report WHERE json_valid(report) AND json_type(report::JSON, '$.rules') = 'OBJECT'),
     named AS (SELECT record_id, rules, json_keys(rules) AS names FROM docs),
     each AS (SELECT record_id, generate_subscripts(names, 1) - 1 AS rule_pos, unnest(names) AS rule, unnest(map_values(rules::MAP(VARCHAR, JSON))) AS body FROM named),
-    kept AS (SELECT record_id, rule_pos, json_extract(body, '$.meta') AS meta FROM each WHERE coalesce(json_extract_string(body, '$.meta.is_subscope_rule'), '') <> 'true'),
-    entry_lists AS (SELECT record_id, rule_pos, coalesce(json_extract_string(meta, '$.namespace'), '') AS namespace, coalesce(json_extract(meta, '$.attack'), json_extract(meta, '$."att&ck"')) AS entries FROM kept),
-    entries AS (SELECT record_id, rule_pos, namespace, generate_subscripts(json_extract(entries, '$[*]'), 1) - 1 AS entry_pos, unnest(json_extract(entries, '$[*]')) AS entry FROM entry_lists WHERE json_type(entries) = 'ARRAY'),
-    parsed AS (SELECT record_id, rule_pos, entry_pos, namespace, json_type(entry) = 'VARCHAR' AS line, entry, json_extract_string(entry, '$') AS t FROM entries),
-    read_out AS (SELECT record_id, rule_pos, entry_pos, namespace,
-        CASE WHEN line THEN split_part(regexp_replace(t, ' \\[[^\\]]*\\]$', ''), '::', 1) ELSE coalesce(json_extract_string(entry, '$.tactic'), json_extract_string(entry, '$.parts[0]'), '') END AS tactic,
-        CASE WHEN line THEN regexp_extract(t, ' \\[([^\\]]*)\\]$', 1) ELSE json_extract_string(entry, '$.id') END AS technique_id,
-        CASE WHEN line THEN coalesce(nullif(split_part(regexp_replace(t, ' \\[[^\\]]*\\]$', ''), '::', 3), ''), split_part(regexp_replace(t, ' \\[[^\\]]*\\]$', ''), '::', 2)) ELSE coalesce(nullif(json_extract_string(entry, '$.subtechnique'), ''), json_extract_string(entry, '$.technique'), '') END AS technique_name FROM parsed)
+    metas AS (SELECT *, json_extract(body, '$.meta') AS meta FROM each),
+    kept AS (SELECT *, json_type(meta) = 'OBJECT' AND {_TEXT_OR_NULL.format('meta', 'namespace')} AS fits, CASE WHEN list_contains(json_keys(meta), 'attack') THEN json_extract(meta, '$.attack') ELSE json_extract(meta, '$."att&ck"') END AS list FROM metas WHERE NOT ({_FLAGGED_RULE})),
+    checked AS (SELECT *, coalesce(fits, false) AND coalesce(json_type(list), 'NULL') IN ('NULL', 'ARRAY') AS readable FROM kept),
+    entries AS (SELECT record_id, rule_pos, coalesce(json_extract_string(meta, '$.namespace'), '') AS namespace, generate_subscripts(json_extract(list, '$[*]'), 1) - 1 AS entry_pos, unnest(json_extract(list, '$[*]')) AS entry FROM checked WHERE readable AND json_type(list) = 'ARRAY'),
+    parsed AS (SELECT record_id, rule_pos, entry_pos, namespace, json_type(entry) = 'VARCHAR' AS line, entry, string_split(json_extract_string(entry, '$'), '::') AS parts FROM entries),
+    tails AS (SELECT *, regexp_extract(parts[-1], '([^ ]*)$', 1) AS tail FROM parsed),
+    ends AS (SELECT *, list_concat(parts[:-2], [parts[-1][:greatest(0, length(parts[-1]) - length(tail) - 1)]]) AS words FROM tails),
+    all_read AS (SELECT record_id, rule_pos, entry_pos, namespace,
+        CASE WHEN line THEN words[1] ELSE coalesce(json_extract_string(entry, '$.tactic'), CASE WHEN json_type(entry, '$.parts[0]') = 'VARCHAR' THEN json_extract_string(entry, '$.parts[0]') END, '') END AS tactic,
+        CASE WHEN NOT line THEN json_extract_string(entry, '$.id') WHEN tail LIKE '[%]' THEN tail[2:-2] END AS technique_id,
+        CASE WHEN line THEN coalesce(nullif(words[3], ''), words[2], '') ELSE coalesce(nullif(json_extract_string(entry, '$.subtechnique'), ''), json_extract_string(entry, '$.technique'), '') END AS technique_name,
+        line OR json_type(entry) = 'OBJECT' AND {' AND '.join(_TEXT_OR_NULL.format('entry', f) for f in ('tactic', 'technique', 'subtechnique', 'id'))} AS typed FROM ends),
+    read_out AS (SELECT * FROM all_read WHERE typed AND technique_id <> '')
 """
 
 
-@query(f"WITH {_RULES} SELECT DISTINCT record_id, tactic, technique_id, technique_name, namespace FROM read_out WHERE technique_id <> ''")
+@query(f"WITH {_RULES} SELECT DISTINCT record_id, tactic, technique_id, technique_name, namespace FROM read_out")
 def q_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capability.capabilities(read(spark, sf_dir, "capa_report"), ["record_id"]).drop("rule_pos", "entry_pos")
 
 
-@query(f"WITH {_RULES} SELECT technique_id, count(DISTINCT record_id) AS records FROM read_out WHERE technique_id <> '' GROUP BY technique_id")
+@query(f"WITH {_RULES} SELECT technique_id, count(DISTINCT record_id) AS records FROM read_out GROUP BY technique_id")
 def q_capability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = capability.project(capability.techniques(read(spark, sf_dir, "capa_report"), ["record_id"]))
+    rows = capability.techniques(capability.entries(read(spark, sf_dir, "capa_report"), ["record_id"]))
     return rows.groupBy("technique_id").agg(F.countDistinct("record_id").alias("records"))
 
 
+@query(f"""WITH {_RULES}, t AS (SELECT record_id, count(*) FILTER (typed AND technique_id <> '') AS techniques, count(*) FILTER (NOT (typed AND coalesce(technique_id, '') <> '')) AS faults FROM all_read GROUP BY 1),
+    f AS (SELECT record_id, count(*) AS faults FROM checked WHERE NOT readable GROUP BY 1),
+    d AS (SELECT record_id, CASE WHEN json_valid(report) THEN json_type(report::JSON) END AS top, CASE WHEN json_valid(report) THEN json_type(report::JSON, '$.rules') END AS rules FROM capa_report),
+    s AS (SELECT record_id, top, rules, coalesce(t.techniques, 0) AS techniques, coalesce(t.faults, 0) + coalesce(f.faults, 0) AS faults FROM d LEFT JOIN t USING (record_id) LEFT JOIN f USING (record_id))
+    SELECT record_id, CASE WHEN coalesce(top, '') <> 'OBJECT' THEN 'BROKEN' WHEN coalesce(rules, '') <> 'OBJECT' THEN 'NO_RULES' WHEN faults > 0 THEN 'FAULTY' ELSE 'READ' END AS status, techniques, faults FROM s""")
+def q_capability_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capability.status(read(spark, sf_dir, "capa_report"), ["record_id"]).drop("first_fault")
+
+
 # Classifier.
 _SCORES = """p AS (SELECT prediction_id, string_id, token_count, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM backend_prediction WHERE len(logits) = 3 AND len(list_filter(logits, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (SELECT prediction_id, string_id, token_count, e[1] / list_sum(e) AS b, e[2] / list_sum(e) AS i, e[3] / list_sum(e) AS j FROM p)"""
@@ -361,13 +469,18 @@ def q_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("prediction_id", *[F.round(c, 6).alias(c) for c in ("p_benign", "p_injection", "p_jailbreak")], "label", "adversarial", "truncated")
 
 
-@query(f"""WITH {_SCORES}, m AS (SELECT string_id, max(greatest(i, j)) AS score, bool_or(i >= 0.75 OR j >= 0.75) AS adversarial FROM s WHERE string_id IS NOT NULL GROUP BY string_id)
-    SELECT r.string_id, round(m.score, 6) AS score, r.api IS NOT NULL AND m.adversarial AS promptware FROM raw_string r JOIN m USING (string_id)""")
+@query(f"""WITH {_SCORES}, m AS (SELECT string_id, max(greatest(i, j)) AS score, bool_or(i >= 0.75 OR j >= 0.75) AS adversarial FROM s WHERE string_id IS NOT NULL GROUP BY string_id),
+    seeded AS ({_STRINGS}), hits AS (SELECT DISTINCT artifact_sha256, provenance FROM ({_rule_sql('artifact_sha256, provenance', _STRINGS)})),
+    flagged AS (SELECT DISTINCT r.artifact_sha256, r.t FROM seeded r JOIN hits h ON r.artifact_sha256 = h.artifact_sha256 AND r.provenance IS NOT DISTINCT FROM h.provenance)
+    SELECT r.string_id, round(m.score, 6) AS score, m.adversarial AND f.t IS NOT NULL AS promptware FROM seeded r JOIN m USING (string_id) LEFT JOIN flagged f ON r.artifact_sha256 = f.artifact_sha256 AND r.t = f.t""")
 def q_promptware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classifier.scored(read(spark, sf_dir, "backend_prediction"), ["string_id"]).filter(F.col("string_id").isNotNull())
-    best = found.groupBy("string_id").agg(F.max(F.greatest("p_injection", "p_jailbreak")).alias("score"), F.max("adversarial").alias("adversarial"))
-    rows = read(spark, sf_dir, "raw_string").select("string_id", "api").join(best, "string_id")
-    return rows.select("string_id", F.round("score", 6).alias("score"), (F.col("api").isNotNull() & F.col("adversarial")).alias("promptware"))
+    predictions = read(spark, sf_dir, "backend_prediction").filter(F.col("string_id").isNotNull())
+    best = classifier.best_scores(classifier.scored(predictions, ["string_id"]), ["string_id"])
+    strings = _seeded_strings(spark, sf_dir)
+    hits = rules.scan(strings.filter(F.col("artifact_sha256").isNotNull()), "t").select("artifact_sha256", "provenance")
+    sources = strings.join(best, "string_id")
+    found = classifier.promptware(sources, hits, "artifact_sha256", "t", "provenance")
+    return found.select("string_id", F.round("score", 6).alias("score"), "promptware")
 
 
 @query("SELECT string_id, length(raw_string)::INT AS token_count FROM raw_string WHERE raw_string IS NOT NULL")
@@ -392,6 +505,13 @@ def q_technique_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.named_techniques(events, "codes").select("event_id", "technique_id", "technique_name", "owasp")
 
 
+@query(f"""WITH e AS (SELECT event_id, list_filter(regexp_split_to_array({_CODES}, '[,\\s]+'), lambda x: x <> '') AS codes FROM events), u AS (SELECT event_id, generate_subscripts(codes, 1) AS k, unnest(codes) AS technique_id FROM e)
+    SELECT event_id, coalesce(arg_min(owasp, k) FILTER (owasp IS NOT NULL), 'No direct mapping') AS owasp FROM u LEFT JOIN (VALUES {_NAMES}) t(technique_id, technique_name, owasp) USING (technique_id) GROUP BY event_id""")
+def q_first_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").select("event_id", F.expr(_CODES).alias("codes"))
+    return policy.first_mapping(policy.named_techniques(events, "codes"), ["event_id"])
+
+
 _STATE = "CASE WHEN value > 190 THEN 'FAILED' WHEN value > 150 THEN 'PARTIAL' ELSE 'COMPLETE' END"
 
 
@@ -400,7 +520,7 @@ def q_coverage_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.folded_coverage(read(spark, sf_dir, "events").select("user_id", F.expr(_STATE).alias("state")), ["user_id"])
 
 
-_RESULTS = """SELECT user_id, event_type AS detector, max(value) > 150 AS positive, min(value) < 10 AS errored, max(value) < 190 AS has_provenance,
+_RESULTS = """SELECT user_id, event_type AS detector, min(event_id) AS ordinal, max(value) > 150 AS positive, min(value) < 10 AS errored, max(value) < 190 AS has_provenance,
     CASE user_id % 3 WHEN 0 THEN 'COMPLETE' WHEN 1 THEN 'PARTIAL' ELSE 'FAILED' END AS processing FROM {} GROUP BY user_id, event_type"""
 
 
@@ -413,17 +533,40 @@ _RESULTS = """SELECT user_id, event_type AS detector, max(value) > 150 AS positi
 def q_detector_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     results = spark.sql(_RESULTS.format("{rows}"), rows=events)
-    return policy.decided(policy.detection_state(results, ["user_id"], ("click", "view"))).select("user_id", "processing", "detection", "action")
-
-
-@query(f"""WITH h AS (SELECT DISTINCT artifact_sha256, branch, rule_ord, rule FROM ({_rule_sql('artifact_sha256, branch', _STRINGS)}))
-    SELECT artifact_sha256, branch, rule, printf('EVD-2031-%04d', row_number() OVER (PARTITION BY artifact_sha256 ORDER BY branch DESC NULLS LAST, rule_ord)) AS evidence_id FROM h""")
-def q_evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    hits = rules.scan(_seeded_strings(spark, sf_dir), "t").select("artifact_sha256", "branch", "rule_ord", "rule").distinct()
-    place = F.row_number().over(Window.partitionBy("artifact_sha256").orderBy(F.desc_nulls_last("branch"), "rule_ord"))  # at most rules x branches rows
-    return hits.select("artifact_sha256", "branch", "rule", budgets.numbered("EVD-2031", place).alias("evidence_id"))
+    return policy.decided(policy.detection_state(results, ["user_id"], ("click", "view"), ordinal="ordinal")).select("user_id", "processing", "detection", "action")
+
+
+_ACTIONS = [a for a in dict.fromkeys(d[2] for d in policy.DECISIONS)]
+_ACTION = "CASE ascii(right(artifact_sha256, 1)) % {} {} END".format(len(_ACTIONS), " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(_ACTIONS)))
+_FINDING_ROWS = f"""WITH s AS (SELECT *, {_ACTION} AS action FROM ({_STRINGS}) WHERE artifact_sha256 IS NOT NULL), h AS (SELECT artifact_sha256, branch, rule_ord, rule, min(struct_pack(o := ord, i := string_id)).i AS first_string FROM ({_rule_sql('artifact_sha256, branch, ord, string_id', _STRINGS)}) WHERE artifact_sha256 IS NOT NULL GROUP BY ALL),
+    a AS (SELECT DISTINCT artifact_sha256, action FROM s), met AS (SELECT DISTINCT artifact_sha256 FROM h)"""
+_SLOT_ROWS = ", ".join(f"('{a}', {i}, '{f}', '{d}')" for a, i, f, d in evidence.SLOTS)
+
+
+@query(f"""{_FINDING_ROWS}, slots AS (SELECT * FROM a JOIN (VALUES {_SLOT_ROWS}) v(action, slot, fill, decision) USING (action)),
+    filled AS (SELECT x.artifact_sha256, action, slot, decision, branch, rule_ord, rule, 0.9 AS confidence FROM slots x JOIN h USING (artifact_sha256) WHERE fill = 'findings'
+        UNION ALL SELECT artifact_sha256, action, slot, decision, NULL, NULL, NULL, 0.0 FROM slots WHERE fill = 'seed' OR fill = 'seed_if_none' AND artifact_sha256 NOT IN (SELECT artifact_sha256 FROM met))
+    SELECT artifact_sha256, printf('EVD-2031-%04d', row_number() OVER (PARTITION BY artifact_sha256 ORDER BY slot, branch NULLS FIRST, rule_ord)) AS evidence_id, decision AS policy_decision, action AS pipeline_action, coalesce(rule, 'coverage') AS summary, confidence::DOUBLE AS confidence_score FROM filled""")
+def q_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strings = _seeded_strings(spark, sf_dir).filter(F.col("artifact_sha256").isNotNull())
+    hits = rules.scan(strings, "t").select("artifact_sha256", "branch", "rule_ord", "rule", "identifier", "ord", "string_id", "provenance")
+    first = budgets.keep_first(hits, ["artifact_sha256", "branch", "rule"], ["ord", "string_id"], ["provenance"])
+    found = first.join(F.broadcast(rules.rule_table(spark)), "rule").withColumn("detector", F.lit("YARA"))  # five rows
+    found = evidence.rule_evidence(found).select("*", F.lit("STRING").alias("detection_source"), "provenance.*", F.array().cast("array<string>").alias("transform_chain"), F.col("rule").alias("summary"))
+    actions = strings.select("artifact_sha256").distinct().select("artifact_sha256", F.expr(_ACTION).alias("action"), F.lit("TRUNCATED,TRUNCATED").alias("flags"))
+    results = actions.select("artifact_sha256", F.lit("YARA").alias("detector"), F.lit(0).alias("ordinal"), F.lit(None).cast("double").alias("score"))
+    seeds = evidence.coverage_seeds(results, ["artifact_sha256"], "ordinal").withColumn("summary", F.lit("coverage"))
+    rows = evidence.emit(actions, found, seeds, "artifact_sha256", ["branch", "rule_ord"], 2031, raw_locator="/raw")
+    return rows.select("artifact_sha256", "evidence_id", "policy_decision", "pipeline_action", "summary", "confidence_score")
+
+
+@query("""WITH b AS (SELECT event_id, user_id FROM events WHERE event_type NOT IN ('view', 'click'))
+    SELECT printf('EVD-2031-%04d', row_number() OVER (PARTITION BY user_id ORDER BY event_id) + user_id % 3) AS evidence_id, user_id, event_id, 'HARD_BLOCK' AS policy_decision FROM b""")
+def q_blocked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    used = events.select("user_id").distinct().select("user_id", (F.col("user_id") % 3).alias("n"))
+    calls = context.dispatched(events, "event_type", ("view", "click"))
+    return evidence.blocked_calls(calls, "user_id", ["event_id"], 2031, used).select("evidence_id", "user_id", "event_id", "policy_decision")
 
 
 # Facts. The tables write below no run key, so both sides rename a folder.
@@ -442,22 +585,88 @@ def q_run_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RECORDS = " UNION ALL ".join(f"SELECT report_id, unnest(json_extract(report::JSON, '$.network.{s}[*]')) AS record FROM cape_report WHERE json_valid(report) AND json_type(report::JSON, '$.network.{s}') = 'ARRAY'" for s in facts.SECTIONS[:6])
 
 
-@query(f"WITH r AS ({_RECORDS}) SELECT report_id, CASE WHEN json_extract_string(record, '$.source') = 'behavior' THEN 'ATTEMPTED' ELSE 'OBSERVED' END AS basis, count(*) AS n FROM r WHERE json_type(record) = 'OBJECT' GROUP BY 1, 2")
+@query(f"WITH r AS ({_RECORDS}) SELECT report_id, CASE WHEN json_extract_string(record, '$.source') = 'behavior' THEN 'ATTEMPTED' ELSE 'OBSERVED' END AS basis, count(*) AS n FROM r WHERE json_type(record) = 'OBJECT' AND coalesce(json_type(record, '$.source'), 'NULL') IN ('NULL', 'VARCHAR') GROUP BY 1, 2")
 def q_network_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.network_activity(facts.network_records(read(spark, sf_dir, "cape_report")))
 
 
-@query()
-def q_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.numbered_indicators(facts.indicators(facts.network_records(read(spark, sf_dir, "cape_report"))))
+_BOUND = """
+    fd AS (SELECT report_id, lower(artifact_sha256) AS sha, json_extract(report::JSON, '$.detections[*]') AS items FROM cape_report WHERE json_valid(report) AND json_type(report::JSON, '$.detections') = 'ARRAY'),
+    fe AS (SELECT report_id, sha, generate_subscripts(items, 1) - 1 AS detection_pos, unnest(items) AS d FROM fd),
+    fx AS (SELECT report_id, sha, detection_pos, json_extract_string(d, '$.family') AS family, unnest(json_extract(d, '$.details[*]')) AS x FROM fe WHERE json_type(d) = 'OBJECT' AND json_type(d, '$.family') = 'VARCHAR' AND json_type(d, '$.details') = 'ARRAY'),
+    fk AS (SELECT *, unnest(json_keys(x)) AS k FROM fx WHERE json_type(x) = 'OBJECT'),
+    bound AS (SELECT DISTINCT report_id, detection_pos::INT AS detection_pos, family FROM fk WHERE lower(k) IN ('yara', 'clamav') AND family <> '' AND json_type(x, '$."' || k || '"') = 'VARCHAR' AND lower(json_extract_string(x, '$."' || k || '"')) = sha)
+"""
 
 
-@query()
+@query(f"WITH {_BOUND} SELECT report_id, detection_pos, family, canonical FROM bound LEFT JOIN (SELECT lower(alias_name) AS a, min(canonical_name) AS canonical FROM family_alias GROUP BY 1) ON a = lower(family)")
 def q_reported_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = facts.reported_families(read(spark, sf_dir, "cape_report"))
     return facts.aliased(found, read(spark, sf_dir, "family_alias"), F.col("family")).select("report_id", "detection_pos", "family", "canonical")
 
 
+# Facts: the reports with their renamed folder, and of each artifact the capability report that came last.
+_CAPA = "SELECT lower(json_extract_string(report::JSON, '$.meta.sample.sha256')) AS artifact_sha256, arg_max(record_id, struct_pack(r := received_at, i := record_id)) AS record_id FROM capa_report WHERE json_valid(report) AND json_type(report::JSON, '$.meta.sample.sha256') = 'VARCHAR' AND received_at IS NOT NULL GROUP BY 1"
+_WRITES = f"""{_IN_LISTS.replace("report::JSON AS doc", "replace(report, 'ProgramData', 'Run')::JSON AS doc")},
+    wa AS (SELECT report_id, process_pos, call_pos, call, json_extract_string(argument, '$.name') AS name, json_extract_string(argument, '$.value') AS v FROM arguments
+        WHERE json_extract_string(call, '$.api') IN ('RegSetValueExA', 'RegSetValueExW') AND json_type(argument, '$.value') = 'VARCHAR'),
+    wc AS (SELECT report_id, process_pos, call_pos, any_value(CASE WHEN json_type(call, '$.status') = 'BOOLEAN' OR (json_type(call, '$.status') = 'UBIGINT' AND json_extract_string(call, '$.status') IN ('0', '1')) THEN json_extract_string(call, '$.status') END) AS status,
+        count(*) FILTER (name = 'FullName') AS nf, count(*) FILTER (name = 'Buffer') AS nb, max(v) FILTER (name = 'FullName') AS f, max(v) FILTER (name = 'Buffer') AS b FROM wa GROUP BY report_id, process_pos, call_pos),
+    wl AS (SELECT *, list_filter(string_split(replace(f, '/', '\\'), '\\'), lambda x: x <> '') AS parts FROM wc WHERE nf = 1 AND nb = 1 AND b <> ''),
+    wr AS (SELECT *, list_position(list_transform(parts, lambda x: lower(x) IN ('run', 'runonce')), true) AS place FROM wl),
+    writes AS (SELECT *, status IN ('true', '1') AS done FROM wr WHERE place > 0 AND len(parts) > place)"""
+_NET = " UNION ALL ".join(f"SELECT report_id, {i} AS o1, generate_subscripts(items, 1) - 1 AS o2, unnest(items) AS r FROM (SELECT report_id, json_extract(report::JSON, '$.network.{s}[*]') AS items FROM cape_report WHERE json_valid(report) AND json_type(report::JSON, '$.network.{s}') = 'ARRAY')" for i, s in enumerate(facts.SECTIONS))
+_KEPT = f"""{_WRITES}, {_RULES}, {_BOUND}, net AS ({_NET}), capa AS ({_CAPA}),
+    found AS (SELECT c.report_id, 0 AS section, rule_pos AS o1, entry_pos AS o2, 'CAPABILITY' AS kind, technique_id AS value, 'CAPABILITY' AS basis, NULL::JSON AS r FROM cape_report c JOIN capa ON lower(c.artifact_sha256) = capa.artifact_sha256 JOIN read_out USING (record_id) WHERE regexp_full_match(technique_id, 'T[0-9]{{4}}(\\.[0-9]{{3}})?')
+        UNION ALL SELECT report_id, 1, process_pos, call_pos, CASE WHEN done THEN 'AUTORUN_WRITE_SUCCESS' WHEN NOT done THEN 'AUTORUN_WRITE_ATTEMPT' END, CASE WHEN done IS NOT NULL THEN 'true' END, CASE WHEN done THEN 'OBSERVED' WHEN NOT done THEN 'ATTEMPTED' END, NULL FROM writes
+        UNION ALL SELECT report_id, 2, detection_pos, 0, CASE WHEN a IS NULL THEN 'UNMAPPED_REPORTED_FAMILY' ELSE 'REPORTED_FAMILY' END, coalesce(canonical, 'true'), 'REPORTED_DETECTION', NULL FROM bound LEFT JOIN (SELECT lower(alias_name) AS a, min(canonical_name) AS canonical FROM family_alias GROUP BY 1) ON a = lower(family)
+        UNION ALL SELECT report_id, 3, o1, o2, CASE WHEN o1 < 6 AND coalesce(json_type(r, '$.source'), 'NULL') IN ('NULL', 'VARCHAR') THEN 'NETWORK_ACTIVITY' END, '', CASE WHEN json_extract_string(r, '$.source') = 'behavior' THEN 'ATTEMPTED' ELSE 'OBSERVED' END, r FROM net WHERE json_type(r) = 'OBJECT'),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY section, o1, o2) AS place FROM found), chosen AS (SELECT * FROM placed WHERE place <= 2000)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = read(spark, sf_dir, "cape_report").withColumn("report", F.replace("report", F.lit("ProgramData"), F.lit("Run")))
+    capa = read(spark, sf_dir, "capa_report").filter(F.col("received_at").isNotNull()).withColumn("artifact_sha256", F.lower(F.get_json_object("report", "$.meta.sample.sha256")))
+    last = capa.filter(F.col("artifact_sha256").isNotNull()).groupBy("artifact_sha256").agg(F.max_by("report", F.struct("received_at", "record_id")).alias("report"))
+    return facts.records(reports, read(spark, sf_dir, "family_alias"), last)
+
+
+@query(f"""WITH {_KEPT}, merged AS (SELECT report_id, kind, value, basis, min(place) AS first, count(*) AS n FROM chosen WHERE kind IS NOT NULL GROUP BY ALL)
+    SELECT report_id, printf('FACT-%04d', row_number() OVER (PARTITION BY report_id ORDER BY first)) AS fact_id, kind, CASE WHEN kind = 'NETWORK_ACTIVITY' THEN n::VARCHAR ELSE value END AS value, basis, n FROM merged""")
+def q_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.facts(facts.within_budget(_records(spark, sf_dir))).drop("sources")
+
+
+_HOST = "(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)(?:\\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)*"
+_IP = "(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+# For hosts in ASCII and addresses with dots; the tables have no others. Fields come in the order uri, host; dst; ip; request and then answers.
+_IOC_FIELDS = f"""{_KEPT}, f AS (
+        SELECT report_id, place, 0 AS k, 'uri' AS role, json_extract_string(r, '$.uri') AS raw FROM chosen WHERE o1 < 3 AND json_type(r, '$.uri') = 'VARCHAR' UNION ALL SELECT report_id, place, 1, 'host', json_extract_string(r, '$.host') FROM chosen WHERE o1 < 3 AND json_type(r, '$.host') = 'VARCHAR'
+        UNION ALL SELECT report_id, place, 0, 'request', json_extract_string(r, '$.request') FROM chosen WHERE o1 = 3 AND json_type(r, '$.request') = 'VARCHAR' UNION ALL SELECT report_id, place, 0, 'ip', json_extract_string(r, '$.dst') FROM chosen WHERE o1 IN (4, 5) AND json_type(r, '$.dst') = 'VARCHAR'
+        UNION ALL SELECT report_id, place, 0, 'ip', json_extract_string(r, '$.ip') FROM chosen WHERE o1 = 6 AND json_type(r, '$.ip') = 'VARCHAR'
+        UNION ALL SELECT report_id, place, k, 'ip', json_extract_string(a, '$.data') FROM (SELECT report_id, place, generate_subscripts(items, 1) AS k, unnest(items) AS a FROM (SELECT report_id, place, json_extract(r, '$.answers[*]') AS items FROM chosen WHERE o1 = 3 AND json_type(r, '$.answers') = 'ARRAY')) WHERE upper(json_extract_string(a, '$.type')) IN ('A', 'AAAA') AND json_type(a, '$.data') = 'VARCHAR'),
+    parts AS (SELECT *, CASE WHEN role = 'uri' THEN lower(regexp_extract(raw, '^(?:https?:)?//([^/?#:@]*)(?::[0-9]+)?(?:[/?#].*)?$', 1, 'is')) ELSE raw END AS h, regexp_matches(raw, '^https?://', 'i') AND role = 'uri' AS web FROM f WHERE raw <> ''),
+    typed AS (SELECT *, CASE WHEN regexp_full_match(h, '{_IP}') THEN CASE WHEN role <> 'request' THEN 'IP' END WHEN role <> 'ip' AND length(h) <= 254 AND NOT (role = 'request' AND regexp_full_match(h, '[0-9.]*\\.[0-9.]*')) AND regexp_full_match(lower(h), '{_HOST}\\.?') THEN 'DOMAIN' END AS host_kind FROM parts),
+    read_iocs AS (SELECT report_id, place, k, CASE WHEN web THEN 'URL' ELSE host_kind END AS kind, CASE WHEN web THEN raw ELSE regexp_replace(lower(h), '\\.$', '') END AS canonical, CASE WHEN web THEN raw ELSE h END AS value FROM typed WHERE host_kind IS NOT NULL)"""
+
+
+@query(f"""WITH {_IOC_FIELDS}, m AS (SELECT report_id, kind, canonical, min(struct_pack(p := place, k := k, v := value)) AS f, count(*) AS sources FROM read_iocs GROUP BY ALL)
+    SELECT report_id, printf('IOC-%04d', row_number() OVER (PARTITION BY report_id ORDER BY f.p, f.k, kind, canonical)) AS ioc_id, kind, canonical, f.v AS value, sources FROM m""")
+def q_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.indicators(facts.within_budget(_records(spark, sf_dir))).drop("display")
+
+
+@query()
+def q_fact_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.issues(_records(spark, sf_dir))
+
+
+@query("""SELECT report_id, artifact_sha256, coalesce(regexp_full_match(lower(artifact_sha256), '[0-9a-f]{64}') AND json_type(d, '$.target.file.sha256') = 'VARCHAR' AND lower(json_extract_string(d, '$.target.file.sha256')) = lower(artifact_sha256), false) AS bound
+    FROM (SELECT report_id, artifact_sha256, CASE WHEN json_valid(report) THEN report::JSON END AS d FROM cape_report)""")
+def q_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.bindings(read(spark, sf_dir, "cape_report")).drop("reason")
+
+
 @query("SELECT m.pair_id, m.malware_family, a.canonical_name AS canonical FROM manifest_pair m LEFT JOIN (SELECT lower(alias_name) AS k, min(canonical_name) AS canonical_name FROM family_alias GROUP BY 1) a ON lower(m.malware_family) = a.k WHERE m.malware_family IS NOT NULL")
 def q_family_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = read(spark, sf_dir, "manifest_pair").filter(F.col("malware_family").isNotNull()).select("pair_id", "malware_family")
@@ -516,26 +725,61 @@ def q_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEMBERS = "(SELECT pair_id, origin, 'clean' AS role, clean AS m FROM manifest_pair UNION ALL SELECT pair_id, origin, 'injected', injected FROM manifest_pair)"
 
 
-@query(f"""WITH w AS (SELECT pair_id, role, m, g.* FROM {_MEMBERS} x LEFT JOIN (VALUES ('benign', 'clean', 1, false, 'BENIGN'), ('benign', 'injected', 2, true, 'BENIGN'), ('malware', 'clean', 3, false, 'MALICIOUS'), ('malware', 'injected', 4, true, 'MALICIOUS')) g(o, r, no, inj, beh) ON x.origin = g.o AND x.role = g.r)
-    SELECT pair_id, role, 'origin' AS reason FROM w WHERE no IS NULL UNION ALL SELECT pair_id, role, 'group_no' FROM w WHERE no IS NOT NULL AND m.group_no IS DISTINCT FROM no
-    UNION ALL SELECT pair_id, role, 'gt_injection' FROM w WHERE no IS NOT NULL AND m.gt_injection IS DISTINCT FROM inj UNION ALL SELECT pair_id, role, 'gt_malware_behavior' FROM w WHERE no IS NOT NULL AND m.gt_malware_behavior IS DISTINCT FROM beh""")
+# The tables' members keep to the group table, so both sides give some rows of every seventh pair another origin.
+_ORIGIN = "CASE WHEN {0} IS NOT NULL AND ascii(right({0}, 1)) % 7 = 3 THEN 'benign' WHEN {0} IS NOT NULL AND ascii(right({0}, 1)) % 7 = 5 THEN 'other' ELSE origin END"
+_WRONG = f"""w AS (SELECT pair_id, role, m, g.* FROM (SELECT * REPLACE ({_ORIGIN.format('pair_id')} AS origin) FROM {_MEMBERS}) x LEFT JOIN (VALUES ('benign', 'clean', 1, false, 'BENIGN'), ('benign', 'injected', 2, true, 'BENIGN'), ('malware', 'clean', 3, false, 'MALICIOUS'), ('malware', 'injected', 4, true, 'MALICIOUS')) g(o, r, no, inj, beh) ON x.origin = g.o AND x.role = g.r),
+    wrong AS (SELECT pair_id, role, 'origin' AS reason FROM w WHERE no IS NULL UNION ALL SELECT pair_id, role, 'group_no' FROM w WHERE no IS NOT NULL AND m.group_no IS DISTINCT FROM no
+    UNION ALL SELECT pair_id, role, 'gt_injection' FROM w WHERE no IS NOT NULL AND m.gt_injection IS DISTINCT FROM inj UNION ALL SELECT pair_id, role, 'gt_malware_behavior' FROM w WHERE no IS NOT NULL AND m.gt_malware_behavior IS DISTINCT FROM beh)"""
+
+
+def _reorigined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "manifest_pair").withColumn("origin", F.expr(_ORIGIN.format("pair_id")))
+
+
+@query(f"WITH {_WRONG} SELECT * FROM wrong")
 def q_manifest_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.member_violations(read(spark, sf_dir, "manifest_pair"))
+    return manifest.member_violations(_reorigined(spark, sf_dir))
 
 
-@query("""SELECT pair_id, 'split' AS reason FROM manifest_pair WHERE clean.split IS DISTINCT FROM split OR injected.split IS DISTINCT FROM split
+_LEAK = "SELECT {0} AS family, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(DISTINCT pair_id) AS pairs FROM manifest_pair WHERE {0} IS NOT NULL AND split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1"
+_PAIRS = """SELECT pair_id, 'split' AS reason FROM manifest_pair WHERE clean.split IS DISTINCT FROM split OR injected.split IS DISTINCT FROM split
     UNION ALL SELECT pair_id, 'code_region_sha256' FROM manifest_pair WHERE clean.code_region_sha256 IS DISTINCT FROM injected.code_region_sha256
     UNION ALL SELECT pair_id, 'sha256' FROM manifest_pair WHERE clean.sha256 IS NOT DISTINCT FROM injected.sha256
-    UNION ALL SELECT pair_id, 'jaccard' FROM manifest_pair WHERE NOT coalesce(invariance.jaccard BETWEEN 0.95 AND 1.0, false)""")
+    UNION ALL SELECT pair_id, 'jaccard' FROM manifest_pair WHERE NOT coalesce(invariance.jaccard BETWEEN 0.95 AND 1.0, false)"""
+
+
+@query(f"""WITH {_WRONG} SELECT 'member' AS "check", pair_id AS subject, role, reason FROM wrong
+    UNION ALL SELECT CASE WHEN reason = 'code_region_sha256' THEN 'rejection' ELSE 'pair' END, pair_id, NULL, reason FROM ({_PAIRS})
+    UNION ALL SELECT 'leak', family, NULL, 'malware_family' FROM ({_LEAK.format('malware_family')}) UNION ALL SELECT 'leak', family, NULL, 'payload_family' FROM ({_LEAK.format('payload_family')})
+    UNION ALL SELECT 'repeat', pair_id, NULL, 'pair_id' FROM manifest_pair WHERE pair_id IS NOT NULL GROUP BY pair_id HAVING count(*) > 1
+    UNION ALL SELECT 'repeat', m.sample_id, NULL, 'sample_id' FROM {_MEMBERS} WHERE m.sample_id IS NOT NULL GROUP BY m.sample_id HAVING count(*) > 1""")
+def q_manifest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.errors(_reorigined(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT pair_id, malware_family AS family, split, issued_at FROM manifest_pair WHERE malware_family IS NOT NULL AND split IS NOT NULL),
+    f AS (SELECT family, min(struct_pack(a := issued_at, b := pair_id, c := split)).c AS first_split FROM (SELECT * FROM r WHERE issued_at IS NOT NULL AND pair_id IS NOT NULL) GROUP BY 1)
+    SELECT r.pair_id, family, split, first_split FROM r JOIN f USING (family) WHERE issued_at IS NOT NULL AND r.pair_id IS NOT NULL AND split <> first_split""")
+def q_late_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dated = read(spark, sf_dir, "manifest_pair").filter(F.col("issued_at").isNotNull() & F.col("pair_id").isNotNull())
+    return manifest.late_uses(dated, "malware_family", ["issued_at", "pair_id"])
+
+
+@query(_PAIRS)
 def q_manifest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.pair_violations(read(spark, sf_dir, "manifest_pair"))
 
 
-@query("SELECT payload_family AS family, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(DISTINCT pair_id) AS pairs FROM manifest_pair WHERE payload_family IS NOT NULL AND split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@query(_LEAK.format("payload_family"))
 def q_split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.leaks(read(spark, sf_dir, "manifest_pair"), "payload_family")
 
 
+@query(_LEAK.format("malware_family"))
+def q_family_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.leaks(read(spark, sf_dir, "manifest_pair"), "malware_family")
+
+
 @query("SELECT pair_id, count(*) AS n FROM manifest_pair WHERE pair_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def q_repeated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.repeated(read(spark, sf_dir, "manifest_pair"), "pair_id")
@@ -602,3 +846,22 @@ def q_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, count(value) AS n, count(*) - count(value) AS missing, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type""")
 def q_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.percentiles(read(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+_SECONDS = "SELECT event_type AS baseline, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS full_seconds, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / 2 + event_id % 5 END AS raw_seconds FROM {}"
+_MEASURES = " UNION ALL ".join(f"SELECT baseline, '{n}' AS measure, {x} AS v FROM o" for n, x in (("full", "full_seconds"), ("overhead", "full_seconds - raw_seconds"), ("raw", "raw_seconds")))
+
+
+@query(f"""WITH o AS ({_SECONDS.format('events')}), m AS ({_MEASURES}) SELECT baseline, measure, count(v) AS n, count(*) - count(v) AS missing, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99 FROM m GROUP BY ALL""")
+def q_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.latencies(spark.sql(_SECONDS.format("{rows}"), rows=read(spark, sf_dir, "events")))
+
+
+# Nested documents: every text and key of the reports, some of which get a token.
+_PLANTED = "CASE report_id % 4 WHEN 0 THEN replace(report, '.exe', '" + context.canary("alpha") + "') WHEN 1 THEN replace(report, 'process_name', lower('" + context.canary("beta") + "')) ELSE report END"
+
+
+@query()
+def q_nested_canaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = read(spark, sf_dir, "cape_report").select("report_id", F.expr(_PLANTED).alias("d"))
+    return context.nested_canary_hits(planted, "report_id", "d", [context.canary(x) for x in _LABELS])
