@@ -4,14 +4,15 @@ Complement naive Bayes is trained on labelled documents and the areas' seed term
 expectation-maximization over all documents: every sentence is shared out among the subjects and a
 neutral class, given its words and the subjects of its document, and the shares are the next counts.
 A document's share of a subject is the part of its characters in that subject's sentences; each subject's
-posterior is a logistic curve of that share, calibrated on the labelled documents, subject by subject.
+posterior is a logistic curve of that share, calibrated on labelled documents that the model was not trained on.
 
 Words and word pairs are hashed into BUCKETS features, so the model has a fixed size whatever the corpus;
-counts are summed in every task over its own documents and merged by feature.
+counts are whole numbers, so their sums do not depend on how the corpus is parted.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from siltstone.runtime import small_enough, stored
 
+#: Features; words have the first half, word pairs the second.
 BUCKETS = 1 << 18
 ROUNDS = 3
 #: Score of the neutral class, pseudo-counts of a seed term and of a feature, and the bound of a feature's weight.
@@ -31,23 +33,58 @@ NEUTRAL, SEED_COUNT, SMOOTHING, BOUND = 2.5, 5.0, 0.3, 4.0
 LABEL_WORTH, PRIOR_WORTH = 0.3, 0.1
 #: A label without annotator counts half.
 UNSIGNED = 0.5
-#: Where a passing mention ends and a quarter of the text begins, and how steep the posterior is there.
-MIDDLE, STEEP = 0.19, 40.0
-#: How far calibration may move the middle, and the labelled documents it looks at.
-MIDDLE_SLACK, CALIBRATED_ON = 0.03, 50_000
+#: One labelled document of so many is held out of training, for calibration, and so many of these are looked at.
+HELD_OUT, CALIBRATED_ON = 5, 50_000
+#: Where calibration starts, how steep a curve may be, the share of labels that are wrong, and the labels that the
+#: starting point is worth, for all subjects and for each.
+MIDDLE, STEEP, STEEPEST, WRONG, COMMON_WORTH, OWN_WORTH = 0.2, 40.0, 80.0, 0.1, 20.0, 50.0
+#: A label whose subject has less of the text than this is wrong wherever the curve lies.
+TRACE = 0.02
 #: The most areas a model may have.
 MOST_AREAS = 256
+#: A count of one, as a whole number.
+UNIT = 1 << 20
+#: Words whose hashes a worker remembers, and features whose counts it holds before it adds them up.
+MEMORY, HELD_TERMS = 1 << 18, 1 << 22
 
 _SENTENCE = regex.compile(r"[\r\n]+|(?<!\b\p{L})[.!?]+[\"')\]]*\s+")
-_WORD = regex.compile(r"\p{L}+(?:[-']\p{L}+)*")
+_WORD = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*")
+
+
+class _Hashes(dict):
+    """32-bit hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        found = self[word] = zlib.crc32(word.encode("utf-8", "replace"))
+        return found
+
+
+_hashes = _Hashes()
+
+
+def featurize(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, terms): the number of features of each sentence, and the features, one sentence after another: the
+    distinct hashed words and pairs of neighbouring words, in order."""
+    said, sizes = [], []
+    for sentence in sentences:
+        words = [_hashes[w] for w in _WORD.findall(sentence.lower())]
+        said += words
+        sizes.append(len(words))
+    half = BUCKETS // 2
+    h, owner = np.array(said, np.uint64), np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+    mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
+    together = owner[:-1] == owner[1:]
+    keys = np.concatenate([owner * BUCKETS + (h % np.uint64(half)).astype(np.int64), (owner[:-1] * BUCKETS + half + (mixed % np.uint64(half)).astype(np.int64))[together]])
+    keys.sort()
+    keys = keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+    return np.bincount(keys // BUCKETS, minlength=len(sizes)), (keys % BUCKETS).astype(np.int32)
 
 
 def features(text: str) -> list[int]:
-    """The distinct hashed words and neighbouring word pairs of a sentence, in order."""
-    words = _WORD.findall(text.lower())
-    terms = set(words)
-    terms.update(f"{a} {b}" for a, b in zip(words, words[1:]))
-    return sorted({zlib.crc32(t.encode("utf-8", "replace")) & (BUCKETS - 1) for t in terms})
+    """The features of one sentence."""
+    return featurize([text])[1].tolist()
 
 
 def area_name(column: str) -> Column:
@@ -63,9 +100,9 @@ def subjects_of(areas: DataFrame) -> list[tuple[str, list[str]]]:
 
 
 def featurized(documents: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
-    """(doc_id, chars, sizes, terms, label): of every document that has a sentence, the characters and the number
-    of features of each sentence, the features one after another, and the weight of each label; written, as
-    every round reads it."""
+    """(doc_id, chars, sizes, terms, label, held): of every document that has a sentence, the characters and the number
+    of features of each sentence, the features one after another, the weight of each label, and whether these are held
+    out of training; written, as every round reads it."""
     number = {n.strip().lower(): i for i, n in enumerate(names)}
     known = labels.select("doc_id", area_name("subject").alias("subject"), F.when(F.trim("annotator") != "", 1.0).otherwise(UNSIGNED).alias("w")).filter(F.col("subject").isin(*number) & F.col("doc_id").isNotNull())
     by_subject = known.groupBy("doc_id", "subject").agg(F.max("w").alias("w"))
@@ -74,95 +111,137 @@ def featurized(documents: DataFrame, labels: DataFrame, names: list[str]) -> Dat
     if small_enough(by_document.count(), 64):
         by_document = F.broadcast(by_document)
     texts = documents.select("doc_id", "text").filter(F.length("text") > 0).join(by_document, "doc_id", "left")
-    texts = texts.select("doc_id", "text", F.array(*[F.coalesce(F.try_element_at("label", F.lit(n)), F.lit(0.0)).cast("float") for n in number]).alias("label"))
+    texts = texts.select("doc_id", "text", F.array(*[F.coalesce(F.try_element_at("label", F.lit(n)), F.lit(0.0)).cast("float") for n in number]).alias("label"), (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held"))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                keep, chars, sizes, terms = [], [], [], []
+                keep, many, sentences = [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    parts = [(len(s), features(s)) for x in _SENTENCE.split(text) if (s := x.strip())]
-                    if parts:
+                    found = [s for x in _SENTENCE.split(text) if (s := x.strip())]
+                    if found:
                         keep.append(i)
-                        chars.append([n for n, _ in parts])
-                        sizes.append([len(f) for _, f in parts])
-                        terms.append([t for _, f in parts for t in f])
-                ints = pa.list_(pa.int32())
+                        many.append(len(found))
+                        sentences += found
+                sizes, terms = featurize(sentences)
+                by_document = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+                listed = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
                 rows = pa.array(keep, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), pa.array(chars, ints), pa.array(sizes, ints), pa.array(terms, ints), part.column("label").take(rows)], names=["doc_id", "chars", "sizes", "terms", "label"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").take(rows), listed(by_document, np.array([len(x) for x in sentences], np.int32)), listed(by_document, sizes),
+                        listed(np.concatenate([[0], np.cumsum(sizes)])[by_document], terms), part.column("label").take(rows), part.column("held").take(rows),
+                    ],
+                    names=["doc_id", "chars", "sizes", "terms", "label", "held"],
+                )
 
-    return stored(texts.mapInArrow(stage, f"doc_id {kind}, chars array<int>, sizes array<int>, terms array<int>, label array<float>"), "document-features")
+    return stored(texts.mapInArrow(stage, f"doc_id {kind}, chars array<int>, sizes array<int>, terms array<int>, label array<float>, held boolean"), "document-features")
 
 
 class _Batch:
-    """The arrays of some documents: sentence and document of every feature, labels by document."""
+    """The arrays of some documents: sentence and document of every feature, labels by document. Held-out labels are
+    not seen, nor are any where labelled is false."""
 
-    def __init__(self, batch: pa.RecordBatch, areas: int):
+    def __init__(self, batch: pa.RecordBatch, areas: int, labelled: bool = True):
         flat = lambda c: np.asarray(batch.column(c).flatten())
         self.documents = batch.num_rows
         self.terms, sizes, self.chars = flat("terms"), flat("sizes"), flat("chars")
         self.owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column("sizes").offsets)))
-        self.sentence = np.repeat(np.arange(len(sizes)), sizes)
+        self.sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.some = sizes > 0
         self.starts = (np.cumsum(sizes) - sizes)[self.some]
-        self.label = flat("label").reshape(batch.num_rows, areas).astype(np.float64)
+        label = flat("label").reshape(batch.num_rows, areas).astype(np.float32)
+        self.label = np.where(np.asarray(batch.column("held").to_numpy(zero_copy_only=False), bool)[:, None], 0, label) if labelled else np.zeros_like(label)
+        self.firsts = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1]]) if len(self.owner) else np.zeros(0, int)
         self.areas = areas
 
     def by_document(self, values: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.owner, values[:, k], self.documents) for k in range(values.shape[1])], 1)
+        return np.add.reduceat(values, self.firsts, axis=0)  # every document has a sentence
 
     def posteriors(self, weights: np.ndarray) -> np.ndarray:
-        """Of each sentence, the share of every area and, last, of the neutral class."""
-        score = np.zeros((len(self.owner), self.areas))
+        """Of each sentence, the share of every area; what is left is the neutral class."""
+        score = np.zeros((len(self.owner), self.areas), np.float32)
         if len(self.starts):
-            score[self.some] = np.add.reduceat(weights[self.terms].astype(np.float64), self.starts, axis=0)
-        prior = np.full((self.documents, self.areas), 1 / self.areas)
+            score[self.some] = np.add.reduceat(weights[self.terms], self.starts, axis=0)
+        likely = np.exp(score - score.max(1, keepdims=True)) if self.areas else score
+        neutral = np.exp(NEUTRAL - score.max(1)) if self.areas else np.ones(len(score))
+        prior = np.full((self.documents, self.areas), 1 / max(self.areas, 1), np.float32)
         for _ in range(4):
-            z = np.concatenate([score + np.log(prior * self.areas)[self.owner], np.full((len(score), 1), NEUTRAL)], 1)
-            z = np.exp(z - z.max(1, keepdims=True))
-            share = z / z.sum(1, keepdims=True)
-            mass = self.by_document(share[:, :-1]) + LABEL_WORTH * self.label + PRIOR_WORTH
+            z = likely * (prior * self.areas)[self.owner]
+            share = z / (z.sum(1) + neutral)[:, None]
+            mass = self.by_document(share) + LABEL_WORTH * self.label + PRIOR_WORTH
             prior = mass / mass.sum(1, keepdims=True)
         return share
 
     def shares(self, weights: np.ndarray) -> np.ndarray:
         """Of each document, the part of its characters that each area has."""
-        mass = self.by_document(self.posteriors(weights)[:, :-1] * self.chars[:, None])
-        return mass / np.maximum(np.bincount(self.owner, self.chars, self.documents), 1)[:, None]
+        mass = self.by_document(self.posteriors(weights) * self.chars[:, None].astype(np.float64))
+        return mass / np.maximum(self.by_document(self.chars), 1)[:, None]
 
 
-def _parts(batch: pa.RecordBatch, size: int = 1024) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, size: int = 2048) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, size):
         yield batch.slice(at, size)
 
 
+def _added(terms: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct terms, their values added up)."""
+    order = np.argsort(terms)
+    terms = terms[order]
+    starts = np.flatnonzero(np.diff(terms, prepend=-1))
+    return terms[starts], np.add.reduceat(values[order], starts, axis=0) if len(terms) else values
+
+
+class _Counts:
+    """Sparse counts: only features that a task meets take room, and what is met is added up when it is much."""
+
+    def __init__(self, areas: int):
+        self.terms, self.values, self.held, self.areas = [], [], 0, areas
+
+    def add(self, batch: _Batch, share: np.ndarray) -> None:
+        whole = np.rint(share * UNIT).astype(np.int32)
+        packed = (batch.terms.astype(np.int64) << 32) | batch.sentence
+        packed.sort()
+        terms = packed >> 32
+        starts = np.flatnonzero(np.diff(terms, prepend=-1))
+        if len(starts):
+            self.terms.append(terms[starts].astype(np.int32))
+            self.values.append(np.add.reduceat(whole[packed & 0xFFFFFFFF], starts, axis=0, dtype=np.int64))
+            self.held += len(starts)
+        if self.held > HELD_TERMS:
+            terms, values = self.total()
+            self.terms, self.values, self.held = [terms], [values], len(terms)
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.terms:
+            return np.zeros(0, np.int32), np.zeros((0, self.areas), np.int64)
+        return _added(np.concatenate(self.terms), np.concatenate(self.values))
+
+
 def _counts(table: DataFrame, areas: int, weights) -> np.ndarray:
     """Expected counts, BUCKETS x areas: by the labels where weights is None, else by the posteriors under them."""
     names = [f"c{k}" for k in range(areas)]
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((BUCKETS, areas))
+        counts = _Counts(areas)
         for batch in batches:
             for part in _parts(batch):
                 b = _Batch(part, areas)
-                if weights is None:
-                    share = (b.label / np.maximum(b.label.sum(1, keepdims=True), 1e-9))[b.owner]
-                else:
-                    share = b.posteriors(weights.value)[:, :-1]
-                for k in range(areas):
-                    found[:, k] += np.bincount(b.terms, share[b.sentence, k], BUCKETS)
-        rows = np.flatnonzero(found.sum(1) > 1e-6)
-        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *[pa.array(found[rows, k]) for k in range(areas)]], names=["bucket", *names])
-
-    used = table if weights is not None else table.filter(F.exists("label", lambda x: x > 0))
-    sums = used.mapInArrow(stage, f"bucket int, {', '.join(f'{n} double' for n in names)}").groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
+                share = b.posteriors(weights.value) if weights is not None else (b.label / np.maximum(b.label.sum(1, keepdims=True), 1e-9))[b.owner]
+                counts.add(b, share)
+        terms, values = counts.total()
+        some = values.any(1)
+        yield pa.RecordBatch.from_arrays([pa.array(terms[some]), *[pa.array(values[some, k]) for k in range(areas)]], names=["bucket", *names])
+
+    used = table if weights is not None else table.filter(F.exists("label", lambda x: x > 0) & ~F.col("held"))
+    sums = used.mapInArrow(stage, f"bucket int, {', '.join(f'{n} long' for n in names)}").groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
     rows = sums.toArrow()  # at most BUCKETS rows
     counts = np.zeros((BUCKETS, areas))
     at = rows.column("bucket").to_numpy()
     for k, n in enumerate(names):
-        counts[at, k] = rows.column(n).to_numpy()
+        counts[at, k] = rows.column(n).to_numpy() / UNIT
     return counts
 
 
@@ -195,42 +274,66 @@ def train(table: DataFrame, areas: list[tuple[str, list[str]]], rounds: int = RO
 
 
 def _shares(table: DataFrame, areas: int, weights) -> DataFrame:
+    """(doc_id, shares, label, held): every document judged by its text alone, without its labels."""
     kind = table.schema["doc_id"].dataType.simpleString()
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
-                b = _Batch(part, areas)
-                share = b.shares(weights.value)
+                share = _Batch(part, areas, labelled=False).shares(weights.value)
                 rows = pa.FixedSizeListArray.from_arrays(pa.array(share.ravel()), areas).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows, part.column("label")], names=["doc_id", "shares", "label"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows, part.column("label"), part.column("held")], names=["doc_id", "shares", "label", "held"])
+
+    return table.mapInArrow(stage, f"doc_id {kind}, shares array<double>, label array<float>, held boolean")
+
 
-    return table.mapInArrow(stage, f"doc_id {kind}, shares array<double>, label array<float>")
+def _named(q: np.ndarray, whole: np.ndarray, areas: int) -> np.ndarray:
+    """How likely a label is: it names one of the subjects that are there, each alike, or, WRONG of the time, any."""
+    return (1 - WRONG) * q / np.maximum(whole, 1e-9) + WRONG / areas
 
 
 def calibration(shares: np.ndarray, label: np.ndarray) -> list[tuple[float, float]]:
-    """(middle, steepness) of every area's logistic curve, fitted by Newton steps on labelled documents.
+    """(middle, steepness) of every area's logistic curve, fitted to labelled documents that training has not seen.
 
-    A label is a positive; an area without label is as likely present as the common curve says, since
-    documents rarely carry all their labels. The common curve also weighs as much as 20 documents at its
-    ends, which holds areas with few labels to it, and the middle stays within MIDDLE_SLACK of it.
+    A document rarely carries all its labels, so what has no label is not taken for a negative: a label is the choice
+    of one of the subjects present, and the curves say how likely each is present. The likelihood of the labels given
+    is maximized, for one middle and steepness first, then for each area's own middle. Few labels leave both near
+    where they start (COMMON_WORTH, OWN_WORTH); many move them wherever they point. Labels of which the text has
+    next to nothing (TRACE) say nothing about the curve.
     """
-    found = []
-    for k in range(shares.shape[1]):
-        x = shares[:, k] - MIDDLE if len(shares) else np.zeros(0)
-        common = 1 / (1 + np.exp(-STEEP * x))
-        y = np.where((label[:, k] > 0) & (x > MIDDLE_SLACK - MIDDLE), np.maximum(common, 0.5), common) if len(x) else x
-        x, y, w = np.concatenate([x, [-MIDDLE / 2, MIDDLE / 2]]), np.concatenate([y, [0.02, 0.98]]), np.concatenate([np.ones(len(x)), [20, 20]])
-        a, b = 0.0, STEEP
-        for _ in range(20):
-            p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-            g = np.array([np.sum(w * (y - p)), np.sum(w * (y - p) * x)]) - np.array([0.0, 1e-3 * (b - STEEP)])
-            r = w * p * (1 - p)
-            h = np.array([[r.sum() + 1e-6, (r * x).sum()], [(r * x).sum(), (r * x * x).sum() + 1e-3]])
-            step = np.linalg.solve(h, g)
-            a, b = a + np.clip(step[0], -1, 1), float(np.clip(b + np.clip(step[1], -10, 10), STEEP / 2, STEEP * 2))
-        found.append((MIDDLE + float(np.clip(-a / b, -MIDDLE_SLACK, MIDDLE_SLACK)), b))
-    return found
+    areas = shares.shape[1]
+    middles = np.round(np.arange(0.02, 0.981, 0.01), 2)
+    curve = lambda x, m, b: 1 / (1 + np.exp(-np.clip(b * (x - m), -30, 30))) + 1e-9
+    label = np.where(shares > TRACE, label, 0)
+    keep = label.any(1) if len(label) else np.zeros(0, bool)
+    shares, label = shares[keep], label[keep]
+
+    def fit(m, b):
+        q = curve(shares, m, b)
+        return float((np.log(_named(q, q.sum(1, keepdims=True), areas)) * label).sum()) - 10 * COMMON_WORTH * (m - MIDDLE) ** 2 - COMMON_WORTH * np.log(b / STEEP) ** 2
+
+    middle, steep = MIDDLE, STEEP
+    for _ in range(2):
+        middle = float(max(middles, key=lambda m: fit(m, steep)))
+        steep = float(max((STEEP / 4, STEEP / 2, STEEP, STEEPEST), key=lambda b: fit(middle, b)))
+    found = np.full(areas, middle)
+    q = curve(shares, middle, steep)
+    for k in range(areas):
+        others = q.sum(1) - q[:, k]
+        rest = label.copy()
+        rest[:, k] = 0
+        some = (shares[:, k] > 0.01) | (label[:, k] > 0)  # elsewhere the curve is flat
+        x, mine, left, given = shares[some, k], label[some, k], q[some], rest[some]
+
+        def own(m):
+            now = curve(x, m, steep)
+            whole = others[some] + now
+            fit = (np.log(_named(now, whole, areas)) * mine).sum() + (np.log(_named(left, whole[:, None], areas)) * given).sum()
+            return float(fit) - 10 * OWN_WORTH * (m - middle) ** 2
+
+        found[k] = max(middles[np.abs(middles - middle) <= 0.3], key=own)
+        q[:, k] = curve(shares[:, k], found[k], steep)
+    return [(float(m), steep) for m in found]
 
 
 def posteriors(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
@@ -249,7 +352,7 @@ def posteriors(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> Dat
     table = featurized(documents, labels, names)
     weights = spark.sparkContext.broadcast(train(table, known))
     shares = stored(_shares(table, len(names), weights), "subject-shares")
-    sample = shares.filter(F.exists("label", lambda x: x > 0)).orderBy(F.xxhash64("doc_id")).limit(CALIBRATED_ON).select("shares", "label").toArrow()
+    sample = shares.filter(F.col("held") & F.exists("label", lambda x: x > 0)).orderBy(F.xxhash64("doc_id")).limit(CALIBRATED_ON).select("shares", "label").toArrow()
     flat = lambda c: np.asarray(sample.column(c).combine_chunks().flatten()).reshape(-1, len(names))
     curves = calibration(flat("shares"), flat("label"))
     per = F.array(*[F.struct(F.lit(n).alias("subject"), F.lit(m).alias("middle"), F.lit(s).alias("steep")) for n, (m, s) in zip(names, curves)])

@@ -47,6 +47,42 @@ def test_empty_tables(rows):
     assert subjects.posteriors(rows(DOCS, (1, "the court. a court", "x", 0.1)), rows(LABELS), rows(AREAS, ("law", ["court"], 1), ("art", None, 1))).count() > 0
 
 
+def test_curves_follow_the_labels():
+    rng = np.random.default_rng(2)
+    shares = rng.dirichlet(np.full(6, 0.5), 5000)
+    for edge in (0.08, 0.2, 0.5):
+        label = np.zeros_like(shares)
+        for i, x in enumerate(shares):
+            there = np.flatnonzero(x > edge)
+            if len(there):
+                label[i, rng.choice(there) if rng.random() > 0.05 else rng.integers(6)] = 1
+        assert all(abs(m - edge) < 0.04 for m, _ in subjects.calibration(shares, label))
+        few = [m for m, _ in subjects.calibration(shares[:20], label[:20])]
+        assert all(abs(m - subjects.MIDDLE) < 0.12 for m in few)
+    assert subjects.calibration(np.zeros((0, 3)), np.zeros((0, 3))) == [(subjects.MIDDLE, subjects.STEEP)] * 3
+
+
+def test_held_out_labels_do_not_train(rows):
+    rng = random.Random(3)
+    docs, truth = corpus(60, rng)
+    areas = rows(AREAS, *[(s, [t[0]], 1) for s, t in TERMS.items()])
+    table = subjects.featurized(rows(DOCS, *docs), rows(LABELS, *[(i, sorted(truth[i])[0], "a", 0.1) for i in truth]), sorted(TERMS))
+    held = table.filter("held").count()
+    assert 0 < held < 60
+    assert subjects._counts(table.filter("held"), len(TERMS), None).sum() == 0 and subjects._counts(table, len(TERMS), None).sum() > 0
+    assert areas.count() == len(TERMS)
+
+
+def test_counts_do_not_depend_on_the_parts(rows):
+    docs, truth = corpus(80, random.Random(4))
+    labels = rows(LABELS, *[(i, sorted(truth[i])[0], "a", 0.1) for i in truth])
+    table = subjects.featurized(rows(DOCS, *docs), labels, sorted(TERMS))
+    weights = subjects.complement_weights(subjects._counts(table, len(TERMS), None))
+    sent = table.sparkSession.sparkContext.broadcast(weights)
+    once, more = (subjects._counts(t, len(TERMS), sent) for t in (table.coalesce(1), table.repartition(7)))
+    assert (once == more).all() and once.sum() > 0
+
+
 def test_neutral_words_have_no_weight():
     counts = np.zeros((subjects.BUCKETS, 3))
     counts[1], counts[2] = [100, 100, 100], [50, 0, 0]
