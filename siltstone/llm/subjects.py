@@ -44,8 +44,8 @@ TRACE = 0.02
 MOST_AREAS = 256
 #: A count of one, as a whole number.
 UNIT = 1 << 20
-#: Words whose hashes a worker remembers, and features whose counts it holds before it adds them up.
-MEMORY, HELD_TERMS = 1 << 18, 1 << 22
+#: Words whose hashes a worker remembers.
+MEMORY = 1 << 18
 
 _SENTENCE = regex.compile(r"[\r\n]+|(?<!\b\p{L})[.!?]+[\"')\]]*\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*")
@@ -101,8 +101,8 @@ def subjects_of(areas: DataFrame) -> list[tuple[str, list[str]]]:
 
 def featurized(documents: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
     """(doc_id, chars, sizes, terms, label, held): of every document that has a sentence, the characters and the number
-    of features of each sentence, the features one after another, the weight of each label, and whether these are held
-    out of training; written, as every round reads it."""
+    of features of each sentence, the features one after another (all packed 32-bit numbers), the weight of each label,
+    and whether these are held out of training; written, as every round reads it."""
     number = {n.strip().lower(): i for i, n in enumerate(names)}
     known = labels.select("doc_id", area_name("subject").alias("subject"), F.when(F.trim("annotator") != "", 1.0).otherwise(UNSIGNED).alias("w")).filter(F.col("subject").isin(*number) & F.col("doc_id").isNotNull())
     by_subject = known.groupBy("doc_id", "subject").agg(F.max("w").alias("w"))
@@ -127,17 +127,29 @@ def featurized(documents: DataFrame, labels: DataFrame, names: list[str]) -> Dat
                         sentences += found
                 sizes, terms = featurize(sentences)
                 by_document = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
-                listed = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
                 rows = pa.array(keep, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").take(rows), listed(by_document, np.array([len(x) for x in sentences], np.int32)), listed(by_document, sizes),
-                        listed(np.concatenate([[0], np.cumsum(sizes)])[by_document], terms), part.column("label").take(rows), part.column("held").take(rows),
+                        part.column("doc_id").take(rows), _packed(by_document, np.array([len(x) for x in sentences], np.int32)), _packed(by_document, sizes),
+                        _packed(np.concatenate([[0], np.cumsum(sizes)])[by_document], terms), part.column("label").take(rows), part.column("held").take(rows),
                     ],
                     names=["doc_id", "chars", "sizes", "terms", "label", "held"],
                 )
 
-    return stored(texts.mapInArrow(stage, f"doc_id {kind}, chars array<int>, sizes array<int>, terms array<int>, label array<float>, held boolean"), "document-features")
+    return stored(texts.mapInArrow(stage, f"doc_id {kind}, chars binary, sizes binary, terms binary, label array<float>, held boolean"), "document-features")
+
+
+def _packed(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Numbers of each document as bytes: one value to pass on, not one for each number."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(values.astype(np.int32))])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(how many numbers each document has, the numbers)."""
+    _, ends, values = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    numbers = np.frombuffer(values, np.int32, (ends[-1] - ends[0]) // 4, ends[0]) if len(column) and values is not None else np.zeros(0, np.int32)
+    return np.diff(ends) // 4, numbers
 
 
 class _Batch:
@@ -145,14 +157,13 @@ class _Batch:
     not seen, nor are any where labelled is false."""
 
     def __init__(self, batch: pa.RecordBatch, areas: int, labelled: bool = True):
-        flat = lambda c: np.asarray(batch.column(c).flatten())
         self.documents = batch.num_rows
-        self.terms, sizes, self.chars = flat("terms"), flat("sizes"), flat("chars")
-        self.owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column("sizes").offsets)))
+        (_, self.terms), (sentences, sizes), (_, self.chars) = (_unpacked(batch.column(c)) for c in ("terms", "sizes", "chars"))
+        self.owner = np.repeat(np.arange(batch.num_rows), sentences)
         self.sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.some = sizes > 0
         self.starts = (np.cumsum(sizes) - sizes)[self.some]
-        label = flat("label").reshape(batch.num_rows, areas).astype(np.float32)
+        label = np.asarray(batch.column("label").flatten()).reshape(batch.num_rows, areas).astype(np.float32)
         self.label = np.where(np.asarray(batch.column("held").to_numpy(zero_copy_only=False), bool)[:, None], 0, label) if labelled else np.zeros_like(label)
         self.firsts = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1]]) if len(self.owner) else np.zeros(0, int)
         self.areas = areas
@@ -181,43 +192,39 @@ class _Batch:
         return mass / np.maximum(self.by_document(self.chars), 1)[:, None]
 
 
-def _parts(batch: pa.RecordBatch, size: int = 2048) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, size: int = 128) -> Iterator[pa.RecordBatch]:
+    """Slices whose arrays stay in a core's own cache."""
     for at in range(0, batch.num_rows, size):
         yield batch.slice(at, size)
 
 
-def _added(terms: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct terms, their values added up)."""
-    order = np.argsort(terms)
-    terms = terms[order]
-    starts = np.flatnonzero(np.diff(terms, prepend=-1))
-    return terms[starts], np.add.reduceat(values[order], starts, axis=0) if len(terms) else values
-
-
 class _Counts:
-    """Sparse counts: only features that a task meets take room, and what is met is added up when it is much."""
+    """Sparse counts: a row of values for each feature that a task meets."""
 
     def __init__(self, areas: int):
-        self.terms, self.values, self.held, self.areas = [], [], 0, areas
+        self.place = np.full(BUCKETS, -1, np.int32)
+        self.terms, self.values, self.met = np.zeros(1 << 12, np.int32), np.zeros((1 << 12, areas), np.int64), 0
 
     def add(self, batch: _Batch, share: np.ndarray) -> None:
-        whole = np.rint(share * UNIT).astype(np.int32)
         packed = (batch.terms.astype(np.int64) << 32) | batch.sentence
         packed.sort()
         terms = packed >> 32
         starts = np.flatnonzero(np.diff(terms, prepend=-1))
-        if len(starts):
-            self.terms.append(terms[starts].astype(np.int32))
-            self.values.append(np.add.reduceat(whole[packed & 0xFFFFFFFF], starts, axis=0, dtype=np.int64))
-            self.held += len(starts)
-        if self.held > HELD_TERMS:
-            terms, values = self.total()
-            self.terms, self.values, self.held = [terms], [values], len(terms)
+        if not len(starts):
+            return
+        terms = terms[starts]
+        sums = np.add.reduceat(np.rint(share * UNIT).astype(np.int64)[packed & 0xFFFFFFFF], starts, axis=0)
+        new = terms[self.place[terms] < 0]
+        if self.met + len(new) > len(self.terms):
+            room = max(self.met + len(new) - len(self.terms), len(self.terms))
+            self.terms, self.values = np.pad(self.terms, (0, room)), np.pad(self.values, ((0, room), (0, 0)))
+        self.place[new] = np.arange(self.met, self.met + len(new))
+        self.terms[self.met : self.met + len(new)] = new
+        self.met += len(new)
+        self.values[self.place[terms]] += sums
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.terms:
-            return np.zeros(0, np.int32), np.zeros((0, self.areas), np.int64)
-        return _added(np.concatenate(self.terms), np.concatenate(self.values))
+        return self.terms[: self.met], self.values[: self.met]
 
 
 def _counts(table: DataFrame, areas: int, weights) -> np.ndarray:
