@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.tokenizing import _encoder, build_lexicon, tokenizer_folder
+from siltstone.llm.tokenizing import _encoder, build_lexicon, encoded, tokenizer_folder
 from siltstone.operators.prefix_sums import prefix_sums
 from siltstone.runtime import stored
 
@@ -28,14 +28,14 @@ def source_name(column: str):
 def sized(documents: DataFrame, folder: str | None = None) -> DataFrame:
     """(doc_id, source, n_tokens) of every document; no tokens for null and empty texts."""
     folder = folder or tokenizer_folder()
-    name = build_lexicon(documents, folder)
+    lexicon = build_lexicon(documents, folder)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(folder, name)
+        encoder = _encoder(folder, lexicon)
         for batch in batches:
-            counts = [len(encoder(t)) if t else 0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(counts, pa.int64())], names=["doc_id", "source", "n_tokens"])
+            for part, many, _ in encoded(batch, encoder):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(many, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
     rows = documents.select("doc_id", source_name("source").alias("source"), "text")
     return stored(rows.mapInArrow(stage, f"doc_id {kind}, source string, n_tokens long"), "sized-documents")

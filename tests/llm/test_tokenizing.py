@@ -1,5 +1,6 @@
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -61,3 +62,28 @@ def test_documents(rows, public):
     counts = {r.doc_id: r.n_tokens for r in tk.encode(docs, counts_only=True).collect()}
     assert counts == {k: len(v) for k, v in by.items()}
     assert tk.encode(rows(DOCS)).count() == 0
+
+
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(5)
+    some = list("abs'dmtlverx  \n\t.,09-_é中  \x1c\x85²Ⅷ́\U0001f600") + ["'ll", "'s", "'re", "n't", "  ", "''"]
+    split = tk.regex.compile(tk.WORD_PATTERN).findall
+    for _ in range(1500):
+        texts = ["".join(rng.choice(some) for _ in range(rng.randrange(25))) for _ in range(rng.randrange(6))]
+        data, ends, many = tk.words_of(texts)
+        raw = data.tobytes()
+        words = [w for t in texts for w in split(t)]
+        assert [raw[a:b].decode() for a, b in zip([0, *ends.tolist()], ends.tolist())] == words
+        assert many.tolist() == [len(split(t)) for t in texts]
+        found, n = tk.counted_words(texts)
+        assert dict(zip([w.decode() for w in found], n.tolist())) == dict(Counter(words))
+
+
+def test_known_words_come_from_the_lexicon_alone(monkeypatch):
+    ranks = tk.load_ranks(FOLDER)
+    words = sorted({w.encode() for w in ["the", " the", " unusualness", "\n", " é", "'s"]})
+    encoder = tk.Encoder(FOLDER, tk.Lexicon(tk.Lexicon.compile([(w, tk.merge(w, ranks)) for w in words])))
+    want = [tk.Encoder(FOLDER)(t) for t in ("the the\n é", "", "the's unusualness")]
+    monkeypatch.setattr(tk, "merge", None)
+    many, ids = encoder.encode(["the the\n é", "", "the's unusualness"])
+    assert many.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
