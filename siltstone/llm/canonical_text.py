@@ -2,9 +2,10 @@
 
 A transducer is compiled from the rules for invisible characters, widths and other compatibility forms,
 accents, spaces and look-alike letters. It reads a text once, cluster by cluster (a character with the
-marks that follow it, invisible characters in between included), and writes each cluster's canonical
-form; within a cluster the longest entry of the look-alike table wins. Characters whose rules disagree
-are found when it is compiled.
+marks that follow it, invisible characters in between included; the letters of a Hangul syllable), and writes
+each cluster's canonical form: single characters and characters with one mark out of compiled tables, the rest
+put together from them; within a cluster the longest entry of the look-alike table wins. Characters whose rules
+disagree are found when it is compiled.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ class Transducer:
         for glyph, letter in pairs:
             if not glyph or letter is None:
                 continue
+            self._check(glyph, letter)
             key, value = unicodedata.normalize("NFKD", glyph), unicodedata.normalize("NFKD", letter)
             if table.setdefault(key, value) != value:
                 raise Conflict(f"{glyph!r} stands for {table[key]!r} and {value!r}")
@@ -56,9 +58,24 @@ class Transducer:
         self.longest = max(map(len, table), default=1)
         self.plain_ascii = not any(k.isascii() for k in table)
         self.single = self._compile()
-        self.joining = "".join(chr(p) for p in self.single if unicodedata.combining(unicodedata.normalize("NFKD", chr(p))[0]) and unicodedata.category(chr(p))[0] != "M")
+        own = lambda f: "".join(sorted(chr(p) for p in self.single if f(unicodedata.normalize("NFKD", chr(p)))))
+        self.joining = own(lambda d: unicodedata.combining(d[0])) if self.single else ""
+        self.joining = "".join(c for c in self.joining if unicodedata.category(c)[0] != "M")
+        self.jamo = own(lambda d: d and ("\u1100" <= d[0] <= "\u11ff" or "\u1100" <= d[-1] <= "\u11ff"))
+        self.pairs = self._compile_pairs()
         self._start()
 
+    @staticmethod
+    def _check(glyph: str, letter: str) -> None:
+        """Look-alikes must not contradict the other rules: what is invisible, a space, or a variant of an ASCII character
+        cannot stand for another one."""
+        plain = unicodedata.normalize("NFKD", glyph)
+        for c in glyph:
+            if c in INVISIBLE or (unicodedata.category(c) == "Zs" and len(glyph) == 1):
+                raise Conflict(f"{glyph!r} is {'invisible' if c in INVISIBLE else 'a space'} and stands for {letter!r}")
+        if not glyph.isascii() and plain.isascii() and plain != unicodedata.normalize("NFKD", letter):
+            raise Conflict(f"{glyph!r} is a variant of {plain!r} and stands for {letter!r}")
+
     def _compile(self) -> dict[int, str]:
         """The canonical form of every single character that has another one."""
         found = {}
@@ -72,6 +89,22 @@ class Transducer:
                     found[point] = form
         return found
 
+    def _compile_pairs(self) -> dict[str, str]:
+        """The canonical form of every character with one mark that has a composed form: the character itself and all
+        that have it for their form."""
+        variants: dict[str, list[str]] = {}
+        for point, form in self.single.items():
+            if len(form) == 1:
+                variants.setdefault(form, []).append(chr(point))
+        found = {}
+        for point in range(0xC0, sys.maxunicode + 1):
+            parts = unicodedata.decomposition(chr(point)).split() if not 0xAC00 <= point <= 0xD7A3 else []
+            if len(parts) == 2 and not parts[0].startswith("<"):
+                base, mark = (chr(int(x, 16)) for x in parts)
+                for same in (base, *variants.get(base, ())):
+                    found[same + mark] = self._form(same + mark)
+        return found
+
     def _form(self, cluster: str) -> str:
         points = unicodedata.normalize("NFKD", "".join(" " if unicodedata.category(c) == "Zs" else c for c in cluster if c not in INVISIBLE))
         if not any(c in INVISIBLE for c in points):
@@ -91,22 +124,20 @@ class Transducer:
     def _start(self) -> None:
         self._memory: dict[str, str] = {}
         marks = rf"[\p{{M}}{INVISIBLE}{self.joining}]"
-        jamo = "[ᄀ-ᇿ가-힣]"
-        self._clusters = regex.compile(rf"{jamo}(?:{jamo}|{marks})*|[^{marks[1:]}?{marks}+|" + ("[^\\x00-\\x7f]" if self.plain_ascii else "(?s:.)"))
-        self._jamo = regex.compile("[ᄀ-ᇿ]").search
+        jamo = f"[ᄀ-ᇿ가-힣{self.jamo}]"
+        several = rf"{jamo}(?:{jamo}|{marks})*|[^{marks[1:]}?{marks}+"
+        self._clusters = regex.compile(several if self.plain_ascii else rf"{several}|[\x00-\x7f]")
+        self._several = regex.compile(rf"{jamo}|{marks}").search if self.plain_ascii else lambda text: True
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_memory", "_clusters", "_jamo")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_memory", "_clusters", "_several")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
         self._start()
 
-    def _written(self, match) -> str:
-        cluster = match[0]
-        if len(cluster) == 1:
-            return self.single.get(ord(cluster), cluster) if self.plain_ascii or ord(cluster) > 0x7F else self._form(cluster)
-        found = self._memory.get(cluster)
+    def _written(self, cluster: str) -> str:
+        found = self.pairs.get(cluster) or self._memory.get(cluster)
         if found is None:
             if len(self._memory) >= MEMORY:
                 self._memory.clear()
@@ -116,8 +147,13 @@ class Transducer:
     def __call__(self, text: str) -> str:
         if self.plain_ascii and text.isascii():
             return text
-        done = self._clusters.sub(self._written, text)
-        return unicodedata.normalize("NFC", done) if self._jamo(done) else done  # half-width letters may join into a syllable
+        if not self._several(text):  # every cluster is one character
+            return text.translate(self.single)
+        out, at = [], 0
+        for m in self._clusters.finditer(text):
+            out += (text[at : m.start()].translate(self.single), self._written(m[0]))
+            at = m.end()
+        return "".join([*out, text[at:].translate(self.single)])
 
 
 def compiled(confusable: DataFrame) -> Transducer:
