@@ -182,6 +182,26 @@ def canonical_strings(strings: DataFrame, confusable: DataFrame) -> DataFrame:
     return strings.select("string_id", "artifact_sha256", "raw_string", canonical(F.col("raw_string"), compiled(confusable)).alias("canonical"))
 
 
+def _forms(strings: DataFrame, confusable: DataFrame) -> DataFrame:
+    """(string_id, form, said, other), written: digests of (artifact, canonical form) and of the text, and whether they
+    differ; rows without id, artifact or text are left out."""
+    some = strings.filter(F.col("string_id").isNotNull() & F.col("artifact_sha256").isNotNull() & F.col("raw_string").isNotNull())
+    key = F.unhex(F.md5(F.concat(F.col("artifact_sha256"), F.lit("\u0001"), F.col("canonical"))))
+    forms = canonical_strings(some, confusable)
+    return stored(forms.select("string_id", key.alias("form"), F.unhex(F.md5("raw_string")).alias("said"), (F.col("raw_string") != F.col("canonical")).alias("other")), "text-forms")
+
+
+def form_members(strings: DataFrame, confusable: DataFrame) -> DataFrame:
+    """(string_id, form, said, links): the form class and the text of every row, and how many rows of the class have
+    another text. No pair is expanded: a class is counted by its texts first."""
+    rows = _forms(strings, confusable)
+    texts = rows.groupBy("form", "said").agg(F.count("*").alias("n"))
+    whole = texts.groupBy("form").agg(F.sum("n").alias("all"), F.count("*").alias("texts")).filter("texts > 1")
+    links = stored(texts.join(whole, "form").select("form", "said", (F.col("all") - F.col("n")).alias("links")), "form-links")
+    found = rows.select("string_id", "form", "said").join(links, ["form", "said"], "left")
+    return found.select("string_id", F.lower(F.hex("form")).alias("form"), F.lower(F.hex("said")).alias("said"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def lookalikes(strings: DataFrame, confusable: DataFrame) -> DataFrame:
     """(string_id_a, string_id_b): rows of one artifact, the smaller id first, that differ and read the same.
 
@@ -189,9 +209,7 @@ def lookalikes(strings: DataFrame, confusable: DataFrame) -> DataFrame:
     shuffled. The distinct texts of a form are paired first, one row each however often they occur; only then
     are the rows of two different texts put together. Null texts, ids and artifacts pair with nothing.
     """
-    forms = canonical_strings(strings.filter(F.col("string_id").isNotNull() & F.col("artifact_sha256").isNotNull() & F.col("raw_string").isNotNull()), confusable)
-    key = F.unhex(F.md5(F.concat(F.col("artifact_sha256"), F.lit("\u0001"), F.col("canonical"))))
-    rows = stored(forms.select("string_id", key.alias("form"), F.unhex(F.md5("raw_string")).alias("said"), (F.col("raw_string") != F.col("canonical")).alias("other")), "text-forms")
+    rows = _forms(strings, confusable)
     texts = rows.groupBy("form", "said").agg(F.max("other").alias("other"))
     mixed = rows.filter("other").select("form").distinct()
     texts = stored(texts.join(mixed, "form", "left_semi"), "form-texts")

@@ -19,8 +19,8 @@ from siltstone.runtime import lookup, stored
 WORDS, NUM, DEN = 3, 1, 2
 #: 64-bit lanes of the bitmap filter.
 LANES = 4
-#: Parts that the training rows of a hot prefix shingle are dealt to.
-SALT = 16
+#: Pairs of classes that one part of a hot prefix shingle brings together, and the most parts of one.
+PART_PAIRS, MOST_PARTS = 1_000_000, 4096
 
 
 def words(text: Column) -> Column:
@@ -64,6 +64,21 @@ def _prefixes(ranked: DataFrame, sized: Column, tag: str) -> DataFrame:
     )
 
 
+def _dealt(index: DataFrame, probe: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _part. Of a shingle that is hot on either side, the larger side is dealt to as many parts as its
+    pairs ask for, and the other side is copied to each; so neither side of it is ever one task."""
+    sides = index.select("sh", F.lit(1).alias("e"), F.lit(0).alias("t")).unionByName(probe.select("sh", F.lit(0).alias("e"), F.lit(1).alias("t")))
+    counts = sides.groupBy("sh").agg(F.sum("e").alias("e"), F.sum("t").alias("t")).filter((F.col("e") > 0) & (F.col("t") > 0) & (F.greatest("e", "t") > max(5000, total // 1000)))  # fewer than 2000 rows
+    parts = F.least(F.lit(MOST_PARTS), F.greatest("e", "t"), F.ceil(F.col("e") * F.col("t") / PART_PAIRS)).cast("int")
+    hot = F.broadcast(stored(counts.select("sh", parts.alias("_parts"), (F.col("t") >= F.col("e")).alias("_deal_t")), "hot-shingles"))
+    made = []
+    for side, key, dealt in ((index, "cls_e", ~F.col("_deal_t")), (probe, "cls_t", F.col("_deal_t"))):
+        one = F.array(F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
+        part = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(dealt, one).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
+        made.append(side.join(hot, "sh", "left").withColumn("_part", F.explode(part)).drop("_parts", "_deal_t"))
+    return made[0], made[1]
+
+
 def similar_classes(classes: DataFrame) -> DataFrame:
     """(cls_e, cls_t): classes on the two sides whose shingle sets have a Jaccard similarity of NUM/DEN or more.
 
@@ -73,11 +88,7 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     total = classes.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
     ranked = stored(_ranked(classes, total).join(classes.select("cls", "on_e", "on_t"), "cls"), "ranked-shingles")
     index, probe = _prefixes(ranked, F.col("on_e"), "e"), _prefixes(ranked, F.col("on_t"), "t")
-    hot = probe.groupBy("sh").agg(F.count("*").alias("n")).filter(F.col("n") > max(5000, total // 1000)).select("sh", F.lit(True).alias("_hot"))  # fewer than 1000 rows
-    part = F.when(F.col("_hot"), F.pmod(F.xxhash64("cls_t"), F.lit(SALT))).otherwise(F.lit(0))
-    probe = probe.join(F.broadcast(hot), "sh", "left").withColumn("_part", part).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
-    index = index.join(F.broadcast(hot), "sh", "left").withColumn("_part", F.explode(copies)).drop("_hot")
+    index, probe = _dealt(index, probe, total)
     e, t = F.col("len_e"), F.col("len_t")
     least = F.ceil((e + t) * NUM / (NUM + DEN))
     differ = sum((F.bit_count(F.col(f"m{k}_e").bitwiseXOR(F.col(f"m{k}_t"))) for k in range(1, LANES)), F.bit_count(F.col("m0_e").bitwiseXOR(F.col("m0_t"))))
@@ -99,7 +110,7 @@ def similar_classes(classes: DataFrame) -> DataFrame:
 def text_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, classes): (pair_id, side, source, split, cls) of rows with at least WORDS words, and one row for each class."""
     said = rows.select("pair_id", "side", "source", "split", F.array_join(words(F.col("payload_text")), " ").alias("text")).filter(F.size(F.split("text", " ")) >= WORDS)
-    said = said.withColumn("cls", F.unhex(F.md5("text")))
+    said = stored(said.withColumn("cls", F.unhex(F.md5("text"))), "said-words")  # words are found once, for both tables
     members = said.select("pair_id", "side", "source", "split", "cls").distinct()
     classes = said.groupBy("cls").agg(F.first("text").alias("text"), F.max(F.col("side") == "E").alias("on_e"), F.max(F.col("side") == "T").alias("on_t"))
     return members, classes.withColumn("hashes", F.transform(shingles(F.split("text", " ")), lambda s: F.xxhash64(s)))
@@ -110,6 +121,32 @@ def _hash_matches(rows: DataFrame, *columns: str) -> DataFrame:
     return keyed.filter(F.col("k.hash").isNotNull()).select(*columns, "side", "k.kind", "k.hash").distinct()
 
 
+def _linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links between classes), both written."""
+    members, classes = text_classes(rows)
+    classes, members = stored(classes, "text-classes"), stored(members, "class-members")
+    return members, stored(similar_classes(classes), "class-links")
+
+
+def class_links(manifest: DataFrame) -> DataFrame:
+    """(cls_e, cls_t, e_pairs, t_pairs): the classes of equal texts that overlap across training and evaluation, and how
+    many pair_ids each holds on its side."""
+    members, linked = _linked(stored(sides(manifest), "manifest-sides"))
+    held = members.groupBy("cls", "side").agg(F.countDistinct("pair_id").alias("n"))
+    of = lambda side, tag: held.filter(F.col("side") == side).select(F.col("cls").alias(f"cls_{tag}"), F.col("n").alias(f"{tag}_pairs"))
+    met = linked.join(of("E", "e"), "cls_e").join(of("T", "t"), "cls_t")
+    return met.select(F.lower(F.hex("cls_e")).alias("cls_e"), F.lower(F.hex("cls_t")).alias("cls_t"), "e_pairs", "t_pairs")
+
+
+def class_members(manifest: DataFrame) -> DataFrame:
+    """(pair_id, split, cls, links): the class of every pair_id's text in each split, and how many classes of the other
+    side overlap with it. With class_links() this is all that overlaps() expands from texts."""
+    members, linked = _linked(stored(sides(manifest), "manifest-sides"))
+    links = linked.groupBy(F.col("cls_e").alias("cls"), F.lit("E").alias("side")).agg(F.count("*").alias("links")).unionByName(linked.groupBy(F.col("cls_t").alias("cls"), F.lit("T").alias("side")).agg(F.count("*").alias("links")))
+    found = members.select("pair_id", "side", "split", "cls").distinct().join(links, ["cls", "side"], "left")
+    return found.select("pair_id", "split", F.lower(F.hex("cls")).alias("cls"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def overlaps(manifest: DataFrame) -> DataFrame:
     """(pair_id_a, pair_id_b): pair_ids, the smaller first, that overlap across training and evaluation.
 
@@ -121,9 +158,7 @@ def overlaps(manifest: DataFrame) -> DataFrame:
     hashed = _hash_matches(rows, "pair_id")
     e, t = (hashed.filter(F.col("side") == x).select("kind", "hash", F.col("pair_id").alias(x.lower())) for x in ("E", "T"))
     by_hash = e.join(t, ["kind", "hash"]).select("e", "t")
-    members, classes = text_classes(rows)
-    classes, members = stored(classes, "text-classes"), stored(members, "class-members")
-    linked = stored(similar_classes(classes), "class-links")
+    members, linked = _linked(rows)
     of = members.select("cls", "pair_id", "side").distinct()
     e, t = (of.filter(F.col("side") == x).select(F.col("cls").alias(f"cls_{x.lower()}"), F.col("pair_id").alias(x.lower())) for x in ("E", "T"))
     by_text = linked.join(e, "cls_e").join(t, "cls_t").select("e", "t")
@@ -145,9 +180,8 @@ def overlap_report(manifest: DataFrame) -> DataFrame:
     hashed = _hash_matches(rows, "pair_id", "split", "source")
     in_train = hashed.filter(F.col("side") == "T").groupBy("kind", "hash").agg(*ends)
     by_hash = hashed.filter(F.col("side") == "E").join(in_train, ["kind", "hash"]).filter(other).select("split", "source", "pair_id", F.when(F.col("kind") == "f", "file").otherwise("code").alias("way"))
-    members, classes = text_classes(rows)
-    classes, members = stored(classes, "text-classes"), stored(members, "class-members")
-    reached = similar_classes(classes).join(members.filter(F.col("side") == "T").groupBy(F.col("cls").alias("cls_t")).agg(*ends), "cls_t").groupBy(F.col("cls_e").alias("cls")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    members, linked = _linked(rows)
+    reached = linked.join(members.filter(F.col("side") == "T").groupBy(F.col("cls").alias("cls_t")).agg(*ends), "cls_t").groupBy(F.col("cls_e").alias("cls")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     by_text = members.filter(F.col("side") == "E").join(reached, "cls").filter(other).select("split", "source", "pair_id", F.lit("text").alias("way"))
     found = by_hash.unionByName(by_text).withColumn("source", source).groupBy("split", "source")
     ways = [F.countDistinct(F.when(F.col("way") == w, F.col("pair_id"))).alias(f"by_{w}") for w in ("file", "code", "text")]

@@ -19,6 +19,22 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(read(spark, sf_dir, "manifest_pair"))
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.class_members(read(spark, sf_dir, "manifest_pair"))
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.class_links(read(spark, sf_dir, "manifest_pair"))
+
+
+def p4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related_splits.forest(read(spark, sf_dir, "manifest_pair"), read(spark, sf_dir, "family_alias"))
+
+
+def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_text.form_members(read(spark, sf_dir, "raw_string"), read(spark, sf_dir, "confusable"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related_splits.torn_pairs(read(spark, sf_dir, "manifest_pair"), read(spark, sf_dir, "family_alias"))
 
@@ -75,6 +91,10 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_report": p2_report,
+    "p2_members": p2_members,
+    "p2_links": p2_links,
+    "p4_forest": p4_forest,
+    "p6_members": p6_members,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p4_shares": p4_shares,

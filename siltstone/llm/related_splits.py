@@ -166,6 +166,16 @@ def assign(manifest: DataFrame, aliases: DataFrame, shares: dict[str, float] | N
 
 
 def share_report(assigned: DataFrame) -> DataFrame:
-    """(split, pair_ids, share) of an assignment."""
-    by = assigned.groupBy("split").agg(F.count("*").alias("pair_ids"))
-    return by.withColumn("share", F.round(F.col("pair_ids") / F.sum("pair_ids").over(Window.partitionBy()), 6))
+    """(split, pair_ids, share, records, record_share) of an assignment: records are the rows of its groups, which the
+    deal balances."""
+    groups = assigned.groupBy("split", "grp").agg(F.count("*").alias("p"), F.max("group_rows").alias("r"))
+    by = groups.groupBy("split").agg(F.sum("p").alias("pair_ids"), F.sum("r").alias("records"))
+    whole = Window.partitionBy()  # three rows
+    return by.select("split", "pair_ids", F.round(F.col("pair_ids") / F.sum("pair_ids").over(whole), 6).alias("share"), "records", F.round(F.col("records") / F.sum("records").over(whole), 6).alias("record_share"))
+
+
+def forest(manifest: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(a, b): the spanning forest of the related groups, an edge for every two nodes it first joins; nodes are digests
+    of pair_ids and names. Groups with n nodes have n - 1 edges."""
+    _, found = grouped(manifest, aliases)
+    return found.select(F.lower(F.hex("a")).alias("a"), F.lower(F.hex("b")).alias("b"))

@@ -74,7 +74,8 @@ def cut(text: str, tokens: int | None, limits: Limits = Limits()) -> list[tuple[
 
     Tokens are taken to be spread over the text as its bytes are. A piece's cost is the larger of its share of
     the two limits, character by character, so that a cost of 1 keeps both. A single character that alone
-    exceeds the token limit is a piece by itself. The overlap shrinks to half a piece where 200 doesn't fit.
+    exceeds the token limit is a piece by itself. Where the overlap alone would take more than half of a limit, it
+    shrinks to that, piece by piece. The count of pieces is the least, from what the whole costs, that fits.
     """
     n = len(text)
     if not n:
@@ -86,9 +87,7 @@ def cut(text: str, tokens: int | None, limits: Limits = Limits()) -> list[tuple[
     slack = 1e-9
     if n <= limits.chars and spent[-1] <= limits.tokens + slack:
         return [(0, n, float(spent[-1]))]
-    mean = cost[-1] / n
-    shared = int(min(limits.overlap, 0.5 / mean))
-    pieces = max(2, int(np.ceil((cost[-1] - shared * mean) / max(1 - shared * mean, mean) - slack)))
+    pieces = max(2, int(np.ceil(cost[-1] - slack)))
     while pieces < n:
         found, start, begun = [], 0, 0
         for i in range(1, pieces + 1):
@@ -104,10 +103,11 @@ def cut(text: str, tokens: int | None, limits: Limits = Limits()) -> list[tuple[
                 break
             found.append((start, end, float(spent[end] - spent[start])))
             begun = end
-            start = max(found[-1][0] + 1, _whole(text, end - shared)) if shared else end
+            reach = max(end - limits.overlap, int(np.searchsorted(cost, cost[end] - 0.5)))  # half a piece at most
+            start = min(end, max(found[-1][0] + 1, _whole(text, reach))) if limits.overlap else end
         else:
             return found
-        pieces += max(1, pieces // 50)
+        pieces += 1
     return [(i, i + 1, float(per_token[i])) for i in range(n)]
 
 

@@ -83,3 +83,31 @@ def test_report(rows):
     h = "ab" * 32
     got = overlap.overlap_report(rows(SCHEMA, row("1", "train", file=h), row("2", "test", "a b c d", file=h), row("3", "train", "a b c d"), row("4", "test"), row("1", "test", file=h))).collect()
     assert [tuple(r) for r in got] == [("test", "s", 3, 1, 1, 0, 1)]
+
+
+def test_classes_say_what_pairs_say(rows):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(25)]
+    values = [row(f"p{i}", rng.choice(["train", "test", "calibration"]), " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(2, 7)))) for i in range(120)]
+    table = rows(SCHEMA, *values, *values[:20])
+    members = overlap.class_members(table).collect()
+    links = {(r.cls_e, r.cls_t): (r.e_pairs, r.t_pairs) for r in overlap.class_links(table).collect()}
+    by = {}
+    for r in members:
+        by.setdefault((r.cls, "t" if r.split == "train" else "e"), set()).add(r.pair_id)
+    expanded = {tuple(sorted((a, b))) for e, t in links for a in by[e, "e"] for b in by[t, "t"] if a != b}
+    assert expanded == brute(values)
+    assert all(n == (len(by[e, "e"]), len(by[t, "t"])) for (e, t), n in links.items())
+    for r in members:
+        own = "t" if r.split == "train" else "e"
+        assert r.links == sum((t if own == "t" else e) == r.cls for e, t in links)
+
+
+def test_hot_shingles_are_dealt_on_either_side(rows, monkeypatch):
+    monkeypatch.setattr(overlap, "PART_PAIRS", 50)
+    index = rows("sh long, cls_e long", *[(1, i) for i in range(6000)], (2, 1), (3, 1))
+    probe = rows("sh long, cls_t long", (1, 7), (2, 5), *[(3, i) for i in range(20)])
+    a, b = overlap._dealt(index, probe, 10)
+    met = a.join(b, ["sh", "_part"])
+    assert met.count() == 6000 + 1 + 20 and met.select("sh", "cls_e", "cls_t").distinct().count() == 6021
+    assert met.filter("sh = 1").select("_part").distinct().count() > 50

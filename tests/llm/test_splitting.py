@@ -45,6 +45,14 @@ def test_tight_limits():
     assert len(check("y" * 91, 558)) >= 2
 
 
+def test_dense_stretches_and_least_counts():
+    found = check("a" * 3000 + "会" * 300, 4000)
+    assert len(found) < 40 and max(b - a for a, b, _ in found) > 100
+    assert all(b - c >= 60 for (_, b, _), (c, _, _) in zip(found, found[1:]))
+    long = check("word " * 90_000, None)
+    assert len(long) == -(-(450_000 - 200) // 1848) or len(long) <= 1.1 * 450_000 / 1848
+
+
 def test_table(rows):
     strings = rows(STRINGS, (1, "a" * 3000, 9, "x"), (2, "b" * 3000, 9, "x"), (3, "short", 9, "x"), (4, "", 9, "x"), (5, None, 9, "x"), (6, "d" * 3000, 9, "x"), (None, "e" * 3000, 9, "x"), (7, "c c " * 50_000, 9, "x"), (7, "c c " * 50_000, 9, "x"))
     counts = rows(COUNTS, (2, 10, 1), (2, None, 1), (3, 600, 1), (3, 5, 1), (4, 600, 1), (5, 600, 1), (6, 0, 1), (6, -4, 1), (None, 900, 1))
