@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import base64
+import binascii
+import contextlib
 import re
 import unicodedata
 
@@ -67,25 +68,33 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, F.aggregate(distinct, F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))).otherwise(0.0)
 
 
-_base64, _hex = re.compile(f"^{BASE64_TEXT}$"), re.compile(f"^{HEX_TEXT}$")
+_packed = re.compile(rf"\s*(?:(?P<b64>{BASE64_TEXT})|(?P<hex>{HEX_TEXT}))\s*")
 _invisible = re.compile("[\u200b-\u200d\ufeff\xa0]")
+_hidden = re.compile(r"[^\x20-\x7e\r\n\t]")
 
 
-def _decoded(text: str) -> str | None:
-    packed = text.strip()
-    for fits, read in ((_base64, lambda s: base64.b64decode(s, validate=True)), (_hex, bytes.fromhex)):
-        if fits.match(packed):
-            try:
-                plain = read(packed).decode("utf-8", "ignore")
-            except ValueError:
-                continue
-            if len(plain) >= DECODED_CHARS:
-                return plain
-    return None
+def _unpacked(text: str) -> str | None:
+    """What a text is as Base64, or else as hex; None if it is neither or too little comes out. Bytes that are no UTF-8
+    are left out."""
+    whole = _packed.fullmatch(text)
+    if whole is None:
+        return None
+    inner = text.strip()
+    plains = []
+    if whole["b64"] and len(inner) % 4 == 0 and "=" not in inner.rstrip("=") and not inner.endswith("==="):
+        with contextlib.suppress(binascii.Error):
+            plains.append(binascii.a2b_base64(inner, strict_mode=True))
+    if re.fullmatch(HEX_TEXT, inner):
+        plains.append(binascii.unhexlify(inner))
+    read = (p.decode("utf-8", "ignore") for p in plains)
+    return next((p for p in read if len(p) >= DECODED_CHARS), None)
 
 
-def _mostly_printable(text: str) -> bool:
-    return sum(c.isprintable() or c in "\r\n\t" for c in text) / max(len(text), 1) >= PRINTABLE_SHARE
+def _readable(text: str) -> bool:
+    """Whether enough of a text can be seen. ASCII that can be seen is passed over first."""
+    odd = _hidden.findall(text)
+    unseen = len(odd) - sum(map(str.isprintable, odd))
+    return len(text) - unseen >= PRINTABLE_SHARE * len(text)
 
 
 def normalize_text(text: str, letters: dict[int, str]) -> tuple[str, int, list[str]]:
@@ -99,8 +108,8 @@ def normalize_text(text: str, letters: dict[int, str]) -> tuple[str, int, list[s
             if after != text:
                 chain.append(step)
                 text = after
-        plain = _decoded(text) if depth < DECODE_DEPTH and len(text.encode("utf-8", "surrogatepass")) <= DECODE_BYTES else None
-        if plain is None or not _mostly_printable(plain):
+        plain = _unpacked(text) if depth < DECODE_DEPTH and len(text.encode("utf-8", "surrogatepass")) <= DECODE_BYTES else None
+        if plain is None or not _readable(plain):
             return text, depth, chain
         depth += 1
         chain.append(f"DECODE_RECURSIVE_D{depth}")
