@@ -45,14 +45,20 @@ def sides(manifest: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(classes: DataFrame, total: int) -> DataFrame:
-    """Classes with their shingle hashes from rare to frequent, and a bitmap of them."""
+def _hot_from(total: int) -> int:
+    return max(5000, total // 1000)
+
+
+def _ranked(classes: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(classes with their shingle hashes from rare to frequent and a bitmap of them, shingles that may be hot: fewer
+    than 1000 rows)."""
     each = classes.select("cls", F.explode("hashes").alias("sh"))
     frequency = stored(each.groupBy("sh").agg(F.count("*").alias("n")), "shingle-counts")
     counted = lookup(each, frequency, "sh", total, counts="n")
     lane, bit = F.pmod(F.col("sh"), F.lit(LANES)), F.pmod(F.shiftright("sh", 8), F.lit(64)).cast("int")
     lanes = [F.bit_or(F.when(lane == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint"))).alias(f"m{k}") for k in range(LANES)]
-    return counted.groupBy("cls").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "sh"))), lambda x: x["sh"]).alias("ranked"), *lanes)
+    ranked = counted.groupBy("cls").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "sh"))), lambda x: x["sh"]).alias("ranked"), *lanes)
+    return ranked, frequency.filter(F.col("n") > _hot_from(total)).select("sh")
 
 
 def _prefixes(ranked: DataFrame, sized: Column, tag: str) -> DataFrame:
@@ -64,11 +70,12 @@ def _prefixes(ranked: DataFrame, sized: Column, tag: str) -> DataFrame:
     )
 
 
-def _dealt(index: DataFrame, probe: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+def _dealt(index: DataFrame, probe: DataFrame, frequent: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with _part. Of a shingle that is hot on either side, the larger side is dealt to as many parts as its
     pairs ask for, and the other side is copied to each; so neither side of it is ever one task."""
     sides = index.select("sh", F.lit(1).alias("e"), F.lit(0).alias("t")).unionByName(probe.select("sh", F.lit(0).alias("e"), F.lit(1).alias("t")))
-    counts = sides.groupBy("sh").agg(F.sum("e").alias("e"), F.sum("t").alias("t")).filter((F.col("e") > 0) & (F.col("t") > 0) & (F.greatest("e", "t") > max(5000, total // 1000)))  # fewer than 2000 rows
+    sides = sides.join(F.broadcast(frequent), "sh", "left_semi")
+    counts = sides.groupBy("sh").agg(F.sum("e").alias("e"), F.sum("t").alias("t")).filter((F.col("e") > 0) & (F.col("t") > 0) & (F.greatest("e", "t") > _hot_from(total)))  # fewer than 2000 rows
     parts = F.least(F.lit(MOST_PARTS), F.greatest("e", "t"), F.ceil(F.col("e") * F.col("t") / PART_PAIRS)).cast("int")
     hot = F.broadcast(stored(counts.select("sh", parts.alias("_parts"), (F.col("t") >= F.col("e")).alias("_deal_t")), "hot-shingles"))
     made = []
@@ -86,9 +93,13 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     to nothing; a class on both sides is similar to itself.
     """
     total = classes.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
-    ranked = stored(_ranked(classes, total).join(classes.select("cls", "on_e", "on_t"), "cls"), "ranked-shingles")
+    ranked, frequent = _ranked(classes, total)
+    ranked = stored(ranked.join(classes.select("cls", "on_e", "on_t"), "cls"), "ranked-shingles")
     index, probe = _prefixes(ranked, F.col("on_e"), "e"), _prefixes(ranked, F.col("on_t"), "t")
-    index, probe = _dealt(index, probe, total)
+    if frequent.isEmpty():  # no shingle has rows enough to be hot on any side
+        index, probe = (x.withColumn("_part", F.lit(0)) for x in (index, probe))
+    else:
+        index, probe = _dealt(index, probe, frequent, total)
     e, t = F.col("len_e"), F.col("len_t")
     least = F.ceil((e + t) * NUM / (NUM + DEN))
     differ = sum((F.bit_count(F.col(f"m{k}_e").bitwiseXOR(F.col(f"m{k}_t"))) for k in range(1, LANES)), F.bit_count(F.col("m0_e").bitwiseXOR(F.col("m0_t"))))

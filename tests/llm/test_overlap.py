@@ -107,7 +107,7 @@ def test_hot_shingles_are_dealt_on_either_side(rows, monkeypatch):
     monkeypatch.setattr(overlap, "PART_PAIRS", 50)
     index = rows("sh long, cls_e long", *[(1, i) for i in range(6000)], (2, 1), (3, 1))
     probe = rows("sh long, cls_t long", (1, 7), (2, 5), *[(3, i) for i in range(20)])
-    a, b = overlap._dealt(index, probe, 10)
+    a, b = overlap._dealt(index, probe, rows("sh long", (1,), (2,)), 10)
     met = a.join(b, ["sh", "_part"])
     assert met.count() == 6000 + 1 + 20 and met.select("sh", "cls_e", "cls_t").distinct().count() == 6021
     assert met.filter("sh = 1").select("_part").distinct().count() > 50
