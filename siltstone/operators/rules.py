@@ -94,10 +94,10 @@ def anchor(pattern: str) -> str:
     return max(re.findall(r"[a-z0-9]+", re.sub(r"\{[0-9,]+\}", "\0", bare).lower()), key=len, default="")
 
 
-def matches(text: Column) -> Column:
+def matches(text: Column, low: Column | None = None) -> Column:
     """Array of struct(rule_ord, rule, identifier) of the patterns that a text meets. A pattern is tried only on texts
-    that contain its anchor."""
-    low = F.lower(text)
+    that contain its anchor; low is the text in lower case, where that is a column already."""
+    low = F.lower(text) if low is None else low
     hits = []
     for i, (rule, patterns) in enumerate(RULES.items()):
         for name, p in patterns.items():
@@ -109,7 +109,8 @@ def matches(text: Column) -> Column:
 
 def scan(df: DataFrame, text: str) -> DataFrame:
     """A row for each pattern that a row's text meets: df with rule_ord, rule and identifier. Null meets nothing."""
-    return df.withColumn("_m", F.explode(matches(F.col(text)))).select(*df.columns, "_m.*")
+    low = df.withColumn("_low", F.lower(text))  # a column of its own: made once for all patterns
+    return low.withColumn("_m", F.explode(matches(F.col(text), F.col("_low")))).select(*df.columns, "_m.*")
 
 
 def rule_table(spark) -> DataFrame:
