@@ -65,3 +65,21 @@ def test_pairs(rows):
     assert ct.canonical_strings(table, confusable).count() == len(values)
     doubled = ct.lookalikes(table.unionByName(table), confusable)
     assert {tuple(r) for r in doubled.collect()} == want
+
+
+def test_members_count_what_pairs_list(rows):
+    values = [(1, "s", "pass", "", ""), (2, "s", "pаss", "", ""), (3, "s", "pаss", "", ""), (4, "s", "pass", "", ""), (5, "t", "pass", "", ""), (6, "s", "other", "", ""), (7, "s", None, "", ""), (8, None, "pass", "", "")]
+    table = rows(STRINGS, *values)
+    confusable = rows("glyph string, ascii_char string, form int", *[(g, c, 1) for g, c in PAIRS])
+    got = {r.string_id: r for r in ct.form_members(table, confusable).collect()}
+    pairs = [tuple(r) for r in ct.lookalikes(table, confusable).collect()]
+    assert set(got) == {1, 2, 3, 4, 5, 6}
+    assert {i: r.links for i, r in got.items()} == {i: sum(i in p for p in pairs) for i in got}
+    assert got[1].form == got[2].form != got[5].form and got[2].said == got[3].said
+    assert ct.form_members(rows(STRINGS), confusable).count() == 0
+
+
+@pytest.mark.parametrize("pair", [("​", "a"), ("　", "a"), ("ａ", "b")])
+def test_rules_must_not_contradict_each_other(pair):
+    with pytest.raises(ct.Conflict):
+        ct.Transducer([pair])
